@@ -5,17 +5,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, bpe, chat_format, quality_rules, token_output
+from . import arc, bpe, chat_format, language_id, quality_knn, quality_rules, token_output
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc.round_trip(table(spark, sf_dir, "pages"))
 
