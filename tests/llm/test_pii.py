@@ -1,0 +1,81 @@
+"""Personal data against a plain Python version."""
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillgraph.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def passes(kind, s):
+    d = re.sub(r"[^0-9]", "", s)
+    return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in s.split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+
+def brute(text):
+    text = text or ""
+    spans = [(m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, text) if passes(kind, m[0])]
+    joined = ",".join(f"{kind}:{a}:{e}" for a, _, e, kind in sorted(spans))
+    return [sum(s[3] == k for s in spans) for k in PATTERNS], hashlib.sha256(joined.encode()).hexdigest(), joined
+
+
+def texts():
+    r = random.Random(3)
+    alphabet = "0123456789" * 3 + "..@@++--()  ab_c%é\n𝒳"
+    out = [None, "", " ", "a@b.c_x@y.org a@b.c.@d.e", "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.004", "+1 (499) 555-6503, 4994226020900891", "1" * 20000, "1 " * 9000, "a." * 9000 + "@b.c", "x" * 50000]
+    out += ["".join(r.choice(alphabet) for _ in range(r.randint(1, 120))) for _ in range(400)]
+    return out
+
+
+def test_base_spans_equal_brute_force(spark):
+    rows = list(enumerate(texts()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        n, sha, joined = brute(t)
+        r = got[i]
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == n, repr(t)[:200]
+        assert r["base_sha256"] == sha, repr(t)[:200]
+        assert set(joined.split(",")) <= set(r["spans"].split(","))
+
+
+def test_added_spans_and_redaction(spark):
+    key = "1eb9c654e721b4f812088970e66a6345cee33dd6"
+    rows = [(1, f'ab token = "{key}" cd', 5), (2, "the quick brown establishmentarianism walks on", 5), (3, "mail é.x@y.zz or +1 (499) 555-6503 now", 5), (4, None, 5), (5, "the phone: 415-555-0199 ok, lot 123-456-7890", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    out = {r["doc_id"]: r for r in pii.redacted(docs).collect()}
+    assert out[1]["text"] == 'ab token = "[SECRET]" cd' and out[1]["kept"] == 5
+    assert out[2]["text"] == rows[1][1]
+    assert out[3]["text"] == "mail é[EMAIL] or [PHONE] now"
+    assert out[4]["text"] is None
+    assert "[LOCAL_PHONE]" in out[5]["text"]
+
+
+def test_trees_agree_with_their_column(spark):
+    model, least = pii.learned(spark)
+    assert set(least) == set(pii.GENERATORS) and 0.5 <= least["secret"] < 1
+    import numpy as np
+
+    x = np.random.default_rng(1).random((50, 11)) * [40, 1, 1, 1, 1, 1, 1, 1, 1, 1, 7]
+    want = model.probability(x)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i int, f array<double>")
+    got = [r["p"] for r in df.select("i", model.column(lambda k: F.get("f", F.lit(k))).alias("p")).orderBy("i").collect()]
+    assert got == pytest.approx(list(want))
+
+
+def test_empty_table(spark):
+    assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
