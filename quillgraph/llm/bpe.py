@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers before it starts anew.
-PIECES = 400_000
+PIECES = 800_000
+#: Bytes of a string up to which its table is kept by prefix.
+SHORT = 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +40,9 @@ class Encoder:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.allowed: dict[tuple[int, int], bool] = {}
+        #: prefix -> its last token, of the short byte strings met so far. Whatever prefix is here, all
+        #: shorter ones are too, so a string that shares a beginning with an earlier one starts there.
+        self.last: dict[bytes, int] = {}
         #: token -> the two tokens that its last merge joined; a token that no merge makes is whole.
         self.halves: dict[int, tuple[int, int]] = {}
         #: two tokens -> the token that a merge of them makes.
@@ -90,16 +95,47 @@ class Encoder:
         """table[i]: the last token of the encoding of text[: i + 1]. known: the table of an earlier
         text that has the first `same` bytes in common; only what lies behind is computed."""
         table = list(known[:same]) if known else []
+        ranks, allowed = self.ranks.get, self.allowed.get
         for end in range(len(table) + 1, len(text) + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = self.ranks.get(text[start:end])
-                if t is not None and (not start or self.may_follow(table[start - 1], t)):
-                    table.append(t)
-                    break
+            for start in range(end - 1, max(-1, end - self.longest - 1), -1):
+                t = ranks(text[start:end])
+                if t is not None:
+                    if not start:
+                        break
+                    ok = allowed((table[start - 1], t))
+                    if self.may_follow(table[start - 1], t) if ok is None else ok:
+                        break
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
+            table.append(t)
         return table
 
+    def encode_short(self, text: bytes) -> list[int]:
+        """As read_off(last_tokens(text)), with the table kept by prefix for later strings."""
+        last, ranks, allowed = self.last, self.ranks.get, self.allowed.get
+        done = len(text)
+        while done and text[:done] not in last:
+            done -= 1
+        for end in range(done + 1, len(text) + 1):
+            for start in range(end - 1, -1, -1):
+                t = ranks(text[start:end])
+                if t is not None:
+                    if not start:
+                        break
+                    before = last[text[:start]]
+                    ok = allowed((before, t))
+                    if self.may_follow(before, t) if ok is None else ok:
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte of the text")
+            last[text[:end]] = t
+        out, end = [], len(text)
+        while end:
+            t = last[text[:end]]
+            out.append(t)
+            end -= len(self.bytes_of[t])
+        return out[::-1]
+
     def read_off(self, table: list[int]) -> list[int]:
         out, end = [], len(table)
         while end:
@@ -110,7 +146,9 @@ class Encoder:
     def encode_piece(self, piece: bytes) -> list[int]:
         """A piece that is a token as a whole is that token, as in the public library."""
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.read_off(self.last_tokens(piece))
+        if whole is not None:
+            return [whole]
+        return self.encode_short(piece) if len(piece) <= SHORT else self.read_off(self.last_tokens(piece))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -149,6 +187,8 @@ class TextEncoder:
     def encode(self, text: str) -> np.ndarray:
         if len(self.known) > self.most:
             self.known.clear()
+        if len(self.encoder.last) > self.most:
+            self.encoder.last.clear()
         if self.run.search(text):
             out = self.look_up(self.pattern.findall(text), self.piece)
         else:
