@@ -23,6 +23,8 @@ from .common import let, stored
 WINDOW, LITERALS, SHARE = 8, 4, 0.3
 #: Windows of the benchmark up to which they are broadcast (under 50 bytes each); beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 200_000
+#: The same for ids of documents, of 8 bytes.
+BROADCAST_IDS = 500_000
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 #: Units that count as such behind a number.
 UNITS = "mm cm m km inch inches ft feet yard yards mile miles mg g kg lb lbs ton tons ml cl l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years cent cents dollar dollars usd euro euros eur pound pounds percent".split()
@@ -89,15 +91,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     items = stored(items)
     located = stored(_located(items, "item_id").withColumnRenamed("pos", "at").dropDuplicates(["window", "item_id", "at"]))
     total = located.groupBy("item_id").agg(F.countDistinct("at").alias("total"))
-    rows = docs.select(F.xxhash64("doc_id", text).alias("rid"), plain(F.col(text)).alias("tokens")).filter("tokens <> ''")
+    rows = docs.select(F.xxhash64("doc_id", text).alias("rid"), plain(F.col(text)).alias("tokens"))
     found = _located(rows, "rid")
     known = located.select("window", "item_id", "at")
     hits = stored(found.join(F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known, "window").select("rid", "item_id", "pos", "at").distinct())
 
     split = lambda r, k: r.select(k, F.split("tokens", " ").alias(f"t_{k}"), F.split(template(F.col("tokens")), " ").alias(f"s_{k}"))
-    hit_rows = split(rows.join(hits.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"]), "rid")
-    with_item = hits.join(split(items, "item_id"), "item_id").withColumn("item_slots", _slots(F.col("t_item_id"), F.col("s_item_id"), F.col("at"))).select("rid", "item_id", "pos", "at", "item_slots")
-    slots = with_item.filter(F.size("item_slots") > 0).join(hit_rows, "rid")
+    with_item = hits.join(split(items, "item_id"), "item_id").withColumn("item_slots", _slots(F.col("t_item_id"), F.col("s_item_id"), F.col("at")))
+    with_item = stored(with_item.filter(F.size("item_slots") > 0).select("rid", "item_id", "pos", "at", "item_slots"))
+    # only documents with slots in their hits are looked at again; their ids are broadcast as far as the bound goes
+    wanted = stored(with_item.select("rid").distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    keyed = docs.withColumn("rid", F.xxhash64("doc_id", text)).select("rid", text).join(F.broadcast(wanted) if few else wanted, "rid", "left_semi")
+    hit_rows = keyed.dropDuplicates(["rid"]).select("rid", F.split(plain(F.col(text)), " ").alias("t_rid"))
+    slots = with_item.join(hit_rows, "rid")
     slots = slots.select("rid", "item_id", (F.col("pos") - F.col("at")).alias("shift"), F.explode(F.transform("item_slots", lambda x: F.struct(x["value"].alias("item"), F.replace(F.get("t_rid", F.col("pos") + x["place"]), F.lit(NAME), F.lit("")).alias("doc")))).alias("v"))
     # one value of the item, one value of the document, along each alignment
     maps = slots.groupBy("rid", "item_id", "shift", "v.item").agg(F.min("v.doc").alias("lo"), F.max("v.doc").alias("hi"), F.max(F.col("v.doc") != F.col("v.item")).alias("other"))
