@@ -1 +1,11 @@
+"""Operators on triples, ragged matrices, scores and query graphs."""
 
+
+def reasoner(name: str):
+    """The scoring function of a reasoner by name: cqd (beam search) or lmpnn (message passing)."""
+    from . import beam, message
+
+    known = {"cqd": beam.scores, "lmpnn": message.scores}
+    if name not in known:
+        raise ValueError(f"no reasoner {name!r}")
+    return known[name]
