@@ -10,9 +10,14 @@ registers of a union are the maxima, and two sets agree in a register with about
    not with the squares of groups. A pair's similarity is estimated by maximum likelihood over its
    registers jointly, with both set sizes known; pairs far below the threshold go, the others are
    verified on their full sets.
-4. Verified links are contracted to components. In buckets that still hold more than one component, the
-   members outside the largest one are paired with all members of other components, estimated and
-   verified; pairs within a component need no test. So components are those of all candidate pairs.
+4. Verified links are contracted to components; only pairs across components still matter. In buckets
+   that hold several, each member's shingles that no other such member has are counted. What a pair has
+   in common is bounded by the rest of either set, and so is its similarity.
+5. Every member of such a bucket is paired with the one that shares most of its set (the centre of a
+   group of edited copies), and links are contracted again. Last, the members outside a bucket's largest
+   component are paired with all members of other components that the bound lets through, estimated and
+   verified. So components are those of all candidate pairs, and copies that are edited too much to be
+   linked with anything are dismissed by the bound rather than pair by pair.
 
 At similarity 0.85 a pair shares no bucket with probability (1 - 0.85^6)^36, 4 in 10^8; at 0.8, 2 in 10^5.
 
@@ -36,8 +41,8 @@ SHINGLE = 5
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.1, 20.0, 255
-#: How far below the threshold an estimate may lie before the pair goes; about six standard errors.
-MARGIN = 0.15
+#: How far below the threshold an estimate may lie before the pair goes: five standard errors.
+MARGIN = 0.12
 #: Ids of 8 bytes up to which a list of documents is broadcast rather than shuffled with the texts.
 BROADCAST_IDS = 500_000
 
@@ -173,22 +178,45 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def _similar(x: pa.RecordBatch, a: int, b: int, percent: int, among: np.ndarray) -> list[bool]:
+    """Of the rows in among, whether the sets in columns a and b are as similar as that."""
+    keep = np.zeros(x.num_rows, bool)
+    for i in among:
+        s, t = (np.frombuffer(x.column(k)[int(i)].as_buffer(), np.uint64) for k in (a, b))
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        keep[i] = 100 * both >= percent * (len(s) + len(t) - both)
+    return keep
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("elements").alias(f"s{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keep = []
-            for i in range(x.num_rows):
-                a, b = (np.frombuffer(x.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            keep = _similar(x, 2, 3, percent, np.arange(x.num_rows))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def tested(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """likely() and verified() in one pass, where registers and sets of all nodes are at hand:
+    known(node, n, regs, elements)."""
+    side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"), F.col("elements").alias(f"s{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                regs = [np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (4, 5)]
+                sizes = [x.column(k).to_numpy().astype(float) for k in (2, 3)]
+                near = np.flatnonzero(estimate(*regs, *sizes) >= percent / 100 - MARGIN)
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(_similar(x, 6, 7, percent, near), pa.bool_()))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "na", "nb", "ra", "rb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node it is connected with) for the nodes of links(a, b): alternating star
     contractions, each round written out, until a round changes nothing."""
@@ -216,18 +244,64 @@ def labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def left_over(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that are in different components and were not tested yet, which is
-    all but those with the bucket's least node. Members of the bucket's largest component are met by the
-    others only."""
+def unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, band, node, leader, comp, main of the buckets of more than one component and two nodes; main: the
+    component with the most members."""
     rows = labelled(members, comps)
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed_keys = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "comp")).getField("comp").alias("main")).filter("comps > 1 and size > 2")
-    some = rows.join(mixed_keys.select("key", "main"), "key").filter("node <> leader").select("key", "node", "comp", (F.col("comp") == F.col("main")).alias("in_main"))
-    x = some.filter("not in_main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    y = some.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"), "in_main")
-    met = x.join(y, "key").filter("cx <> cy and (in_main or x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    keys = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "comp")).getField("comp").alias("main")).filter("comps > 1 and size > 2")
+    return rows.join(keys.select("key", "main"), "key").select("key", "band", "node", "leader", "comp", "main")
+
+
+def common_sizes(sets: DataFrame) -> DataFrame:
+    """node, n, c: how many elements a set has, and how many of them some other set has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                elements = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                node = np.repeat(part.column(0).to_numpy(), [len(e) for e in elements])
+                yield pa.record_batch([pa.array(node), pa.array(np.concatenate(elements))], ["node", "element"])
+
+    own = sets.select("node", "elements").mapInArrow(run, "node long, element long").groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    alone = own.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    size = sets.select("node", (F.octet_length("elements") / 8).cast("long").alias("n"))
+    return size.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+
+
+def possible(x: str, y: str, percent: int):
+    """Whether sets of nx and ny elements, of which cx and cy at most are in another set, can be as
+    similar as that."""
+    both = F.least(f"c{x}", f"c{y}")
+    return 100 * both >= percent * (F.col(f"n{x}") + F.col(f"n{y}") - both)
+
+
+def central(rows: DataFrame) -> DataFrame:
+    """key, centre: the bucket's member with the largest part of its set in common with others."""
+    return rows.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("part"), "node")).getField("node").alias("centre"))
+
+
+def with_centre(rows: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's centre with its members in other components."""
+    named = rows.join(centres, "key")
+    middle = named.filter("node = centre").select("key", F.col("node").alias("y"), F.col("comp").alias("compy"), F.col("n").alias("ny"), F.col("c").alias("cy"))
+    x = named.filter("node <> centre and node <> leader and centre <> leader").select("key", F.col("node").alias("x"), F.col("comp").alias("compx"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    return x.join(middle, "key").filter(F.col("compx") != F.col("compy")).filter(possible("x", "y", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def left_over(rows: DataFrame, centres: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a bucket that are in different components and weren't tested with its least
+    node or its centre. Members of the largest component are met by the others only. Nodes that share
+    several buckets meet in the one of the first band in which their registers agree."""
+    some = rows.join(centres, "key").filter("node <> leader and node <> centre").join(nodes.select("node", "regs"), "node")
+    side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp{x}"), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("regs").alias(f"regs{x}")]
+    x = some.filter("comp <> main").select("key", "band", *side("x"))
+    y = some.select("key", *side("y"), (F.col("comp") == F.col("main")).alias("in_main"))
+    part = lambda regs, k: F.substring(regs, k * ROWS + 1, F.lit(ROWS))
+    before = F.exists(F.slice(F.array(*map(F.lit, range(BANDS))), F.lit(1), F.col("band")), lambda k: part(F.col("regsx"), k) == part(F.col("regsy"), k))
+    wanted = (F.col("compx") != F.col("compy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & possible("x", "y", percent) & ~before
+    return x.join(y, "key").filter(wanted).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
@@ -238,24 +312,34 @@ def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame
         rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs")).withColumn("node", F.monotonically_increasing_id())
     )
     key = lambda k: F.xxhash64(F.lit(k), F.substring("regs", k * ROWS + 1, ROWS))
-    bands = nodes.select("node", F.explode(F.array(*map(key, range(BANDS)))).alias("key"))
+    bands = nodes.select("node", F.posexplode(F.array(*map(key, range(BANDS)))).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
-    members = stored(bands.join(buckets.select("key", "leader"), "key").select("key", "node", "leader"))
+    members = stored(bands.join(buckets.select("key", "leader"), "key").select("key", "band", "node", "leader"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = stored(likely(pairs, nodes, percent))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return verified(pairs, stored(full_sets(docs, nodes, wanted, text)), percent)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return stored(full_sets(docs, nodes, wanted, text))
 
     same_id = rows.filter("n > 0 and doc_id is not null").select("doc_id", "digest").distinct().join(nodes.select("digest", "node"), "digest")
     shared = same_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
     ties = same_id.join(shared, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
-    first = stored(links(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()).unionAll(ties))
-    comps = components(first)
-    more = left_over(members, comps)
-    second = stored(links(more))
-    if not second.isEmpty():
-        comps = components(first.unionAll(second))
+    pairs = stored(likely(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = stored(verified(pairs, sets, percent).unionAll(ties))
+    comps = components(links)
+
+    rest = unsettled(members, comps)
+    known = stored(sets_of(rest.select("node").distinct()).join(nodes.select("node", "n", "regs"), "node"))
+    rest = stored(rest.join(common_sizes(known), "node"))
+    centres = stored(central(rest))
+    more = stored(tested(with_centre(rest, centres, percent), known, percent))
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        comps = components(links)
+    now = labelled(rest.drop("comp", "main"), comps)
+    main = now.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).getField("comp").alias("main")).filter("comps > 1").select("key", "main")
+    more = stored(tested(left_over(now.join(main, "key"), centres, nodes, percent), known, percent))
+    if not more.isEmpty():
+        comps = components(links.unionAll(more))
     of_node = labelled(nodes.select("node", "digest", "first_id"), comps)
     least = of_node.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_digest = of_node.join(least, "comp").select("digest", "component_id")
