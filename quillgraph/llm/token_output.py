@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ MAGIC, WIDTH, PER_RANK = b"DACS", 8, 512
 #: Documents and characters of one segment, whichever is reached first.
 SEGMENT_DOCS, SEGMENT_CHARS = 512, 1_000_000
 #: Words that a worker remembers before it starts anew.
-WORDS = 400_000
+WORDS = 600_000
 
 
 def write_segment(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -97,24 +98,64 @@ def read_segments(data: bytes) -> Iterator[Segment]:
 
 class WordEncoder:
     """The ids of the public library's tokenizer, word by word. Its normaliser and its splitting never
-    look across a space or a line feed, so a text's ids are its words' ids in a row; the library encodes
-    each word once per worker, as long as the table lasts."""
+    look across a space or a line feed, so a text's ids are its words' ids in a row.
+
+    A word that is new to a worker is lower-cased and split as the library does, if all its characters
+    are ones on which normal forms have no effect, so that words that differ in capitals or marks share
+    their pieces; new pieces go through the library many at a time, and the ids that end a piece divide
+    what comes back. All other new words go through the library whole."""
+
+    #: ASCII and the letters up to U+017F that lower-case to one character, without white space.
+    PLAIN = regex.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+    #: Fixed value: the splitting pattern of the vocabulary file.
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str, words: int = WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), words, {"": b""}
+        self.tokenizer, self.most, self.known, self.pieces = Tokenizer.from_file(path), words, {"": b""}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        split, whole = [], []
+        for w in words:
+            # letters, with one mark behind them at most: most words, and no pattern is needed
+            body, mark = (w[:-1], [w[-1]]) if w[-1] in ".,!?;:" else (w, [])
+            if body.isalpha() and max(body) <= "\u017f" and "\u0130" not in body:
+                split.append((w, [body.lower(), *mark]))
+            elif self.PLAIN.fullmatch(w) and "<|" not in w:
+                split.append((w, self.PIECE.findall(w.lower())))
+            else:
+                whole.append(w)
+        if whole:
+            self.known.update(zip(whole, (x.tobytes() for x in self.library(whole))))
+        new = list({p for _, ps in split for p in ps}.difference(self.pieces))
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            ids = self.library([" ".join(some)])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                raise ValueError("the vocabulary doesn't mark the ends of pieces")
+            data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            self.pieces.update(zip(some, (data[a:b] for a, b in zip(at, at[1:]))))
+        get = self.pieces.__getitem__
+        for w, ps in split:
+            self.known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        get = self.known.get
-        new = {w for words in split for w, ids in zip(words, map(get, words)) if ids is None}
+        if len(self.pieces) > self.most:
+            self.pieces = {}
+        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.known)
         if new:
-            new = list(new)
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
