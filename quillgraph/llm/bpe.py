@@ -13,6 +13,8 @@ Defined cases: null and empty texts have no tokens. Repeated rows and ids are en
 and the text column are read, whatever else the table holds.
 """
 import base64
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from functools import cache
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers before it starts anew.
-PIECES = 800_000
+PIECES = 600_000
 #: Bytes of a string up to which its table is kept by prefix.
 SHORT = 40
 
@@ -52,6 +54,10 @@ class Encoder:
                 self.halves[r] = (parts[0], parts[1])
                 self.merged[parts[0], parts[1]] = r
 
+    def forget(self) -> None:
+        self.last.clear()
+        self.allowed.clear()
+
     def plain(self, text: bytes, below: int | None = None) -> list[int]:
         """BPE by its definition: merge the pair of lowest rank, again and again."""
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -166,6 +172,13 @@ class TextEncoder:
         self.known: dict[str, bytes] = {}
         self.run = regex.compile(r"\s[ ]|[ ]\s|[ ]$") if spaced else regex.compile("")
 
+    def close(self) -> None:
+        """Gives the tables' memory back: an idle worker holds none of it."""
+        self.known.clear()
+        self.encoder.forget()
+        with contextlib.suppress(AttributeError, OSError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
     def look_up(self, pieces: list[str], miss) -> bytes:
         found = list(map(self.known.get, pieces))
         if None in found:
@@ -187,8 +200,8 @@ class TextEncoder:
     def encode(self, text: str) -> np.ndarray:
         if len(self.known) > self.most:
             self.known.clear()
-        if len(self.encoder.last) > self.most:
-            self.encoder.last.clear()
+        if max(len(self.encoder.last), len(self.encoder.allowed)) > self.most:
+            self.encoder.forget()
         if self.run.search(text):
             out = self.look_up(self.pattern.findall(text), self.piece)
         else:
@@ -252,5 +265,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
                     ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
                     decoded_sha.append(hashlib.sha256(enc.encoder.decode(ids.tolist())).hexdigest())
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.close()
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 

@@ -162,14 +162,19 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text: str) -
     return sets.join(F.broadcast(slim) if few else slim, "digest").select("node", "elements").dropDuplicates(["node"])
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and registers don't rule the similarity out."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
+        for batch in batches:
+            for x in slices(batch):
                 regs = [np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (4, 5)]
                 sizes = [x.column(k).to_numpy().astype(float) for k in (2, 3)]
                 keep = estimate(*regs, *sizes) >= percent / 100 - MARGIN
@@ -206,8 +211,8 @@ def tested(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"), F.col("elements").alias(f"s{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
+        for batch in batches:
+            for x in slices(batch):
                 regs = [np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (4, 5)]
                 sizes = [x.column(k).to_numpy().astype(float) for k in (2, 3)]
                 near = np.flatnonzero(estimate(*regs, *sizes) >= percent / 100 - MARGIN)
