@@ -22,13 +22,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytes_np import CHUNK, chunks, span_hashes
 from .common import read_blobs, shared_dir, stored, write_blobs
 
 MAGIC, WIDTH, PER_RANK = b"DACS", 8, 512
-#: Documents and characters of one segment, whichever is reached first.
-SEGMENT_DOCS, SEGMENT_CHARS = 512, 1_000_000
-#: Words that a worker remembers before it starts anew.
-WORDS = 600_000
+#: Documents and bytes of text of one segment; a block of texts that reaches either is its last.
+SEGMENT_DOCS, SEGMENT_BYTES = 512, 1_000_000
+#: Words, and pieces of words, that a worker remembers before it starts anew.
+WORDS, PIECES = 100_000, 1_000_000
 
 
 def write_segment(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -159,34 +160,202 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: str):
+        self.room, self.n = np.zeros(1024, dtype), 0
+
+    def append(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros(max(len(x), len(self.room)), self.room.dtype)])
+        self.room[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each span, in a row."""
+    ends = lengths.cumsum()
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+_CLASS = np.full(256, 4, np.uint8)  # of bytes: white space, letter, digit, mark, not read here
+_CLASS[[9, 10, 32]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 1
+_CLASS[48:58] = 2
+_CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
+
+
+class PieceEncoder:
+    """The ids of the public library's tokenizer for whole blocks of texts. Bytes are lower-cased and cut
+    into the pieces of WordEncoder.PIECE with NumPy; a hash table leads from pieces to their ids. New
+    pieces go through the library. The bytes of all pieces are compared with those that the table was
+    taught, so that equal hashes of different pieces can't go unseen.
+
+    Texts with other characters than ASCII's and the letters from U+00C0 to U+00FF are left to WordEncoder,
+    as are those with the strings of special tokens."""
+
+    def __init__(self, path: str, most: int = PIECES):
+        self.words, self.most = WordEncoder(path), most
+        self.mask = (1 << (4 * most - 1).bit_length()) - 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.table = np.full(self.mask + 1, -1, np.int32)
+        self.keys, self.data, self.data_at, self.ids, self.ids_at = Grown("u8"), Grown("u1"), Grown("i8"), Grown("u4"), Grown("i8")
+        self.data_at.append(np.zeros(1, "i8"))
+        self.ids_at.append(np.zeros(1, "i8"))
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The piece with each key, or -1."""
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        out = self.table[at]
+        off = np.flatnonzero((out >= 0) & (self.keys.room[out] != keys))
+        while len(off):
+            at[off] = (at[off] + 1) & self.mask
+            out[off] = self.table[at[off]]
+            off = off[(out[off] >= 0) & (self.keys.room[out[off]] != keys[off])]
+        return out
+
+    def learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Distinct new keys, and the bytes of their pieces."""
+        for i in range(0, len(keys), 2000):
+            a, n = starts[i : i + 2000], lengths[i : i + 2000]
+            own = data[spread(a, n)]
+            line = np.full(len(own) + len(n), 32, np.uint8)
+            line[np.arange(len(own)) + np.repeat(np.arange(len(n)), n)] = own
+            ids = self.words.library([line.tobytes().decode()])[0]
+            cuts = np.flatnonzero(self.words.ends[ids]) + 1
+            if len(cuts) != len(n) or cuts[-1] != len(ids):
+                raise ValueError("the vocabulary doesn't mark the ends of pieces")
+            self.data_at.append(n.cumsum() + self.data.n)
+            self.ids_at.append(cuts + self.ids.n)
+            self.data.append(own)
+            self.ids.append(ids)
+        place = np.arange(self.keys.n, self.keys.n + len(keys), dtype=np.int32)
+        self.keys.append(keys)
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(place):
+            free = self.table[at] < 0
+            self.table[at[free]] = place[free]
+            left = self.table[at] != place
+            at, place = (at[left] + 1) & self.mask, place[left]
+
+    def pieces(self, data: np.ndarray, kind: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """starts and ends of the pieces of lower-cased bytes. borders: where a text begins."""
+        n = len(data)
+        fresh = np.zeros(n + 1, bool)
+        fresh[borders] = True
+        fresh[-1] = True
+        begin = np.ones(n + 1, bool)
+        begin[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        begin |= fresh
+        begin[:n] &= kind != 0
+        # a lone apostrophe takes s, t, m, d, re, ve or ll along
+        q = np.flatnonzero((data == 39) & begin[:n])
+        q = q[(q + 1 < n) & ~fresh[q + 1]]
+        after = lambda k: np.where((q + k < n), data[np.minimum(q + k, n - 1)], 0)
+        x, y = after(1), after(2)
+        long = (((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))) & ~fresh[np.minimum(q + 2, n)]
+        short = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        begin[q[short | long] + 1] = False
+        rest = np.concatenate([q[short] + 2, q[long] + 3])
+        rest = rest[rest < n]
+        begin[rest[kind[rest] == 1]] = True
+        space = np.ones(n + 1, bool)
+        space[:n] = kind == 0
+        return np.flatnonzero(begin[:n]), np.flatnonzero(~space[:n] & (begin[1:] | space[1:])) + 1
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts in a row, and how many each has."""
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(n, np.int64)
+        kind = _CLASS[data]
+        low = data.copy()
+        low[(data >= 65) & (data <= 90)] += 32
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        low[second[(data[second] <= 0x9E) & (data[second] != 0x97)]] += 32
+        odd = [np.flatnonzero(kind == 4), second[(data[second] == 0x97) | (data[second] == 0xB7)], np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))]
+        others = np.unique(np.searchsorted(offsets, np.concatenate(odd), "right") - 1)
+        for k in others:
+            kind[offsets[k] : offsets[k + 1]] = 0
+        borders = offsets[:-1][offsets[:-1] < len(data)]
+        starts, ends = self.pieces(low, kind, borders)
+        keys, lengths = span_hashes(low, starts, ends), ends - starts
+        if self.keys.n > self.most // 2 and self.keys.n + len(keys) > self.most:
+            self.forget()
+        place = self.places(keys)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, first = np.unique(keys[missing], return_index=True)
+            first = missing[first]
+            self.learn(new, low, starts[first], lengths[first])
+            place[missing] = self.places(keys[missing])
+        at = self.data_at.room
+        if not np.array_equal(at[place + 1] - at[place], lengths) or not np.array_equal(self.data.room[spread(at[place], lengths)], low[kind != 0]):
+            own = np.zeros(0, "<u4")
+            count, others = np.zeros(n, np.int64), np.arange(n)
+        else:
+            at = self.ids_at.room
+            each = at[place + 1] - at[place]
+            own = self.ids.room[spread(at[place], each)]
+            before = np.concatenate([[0], each.cumsum()])
+            count = np.diff(before[np.searchsorted(starts, offsets)])
+        if not len(others):
+            return own, count
+        # the texts that are left to the other encoder take their places between those
+        own = np.split(own, count.cumsum()[:-1])
+        for k, x in zip(others, self.words.encode([data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in others])):
+            own[k] = np.frombuffer(x, "<u4")
+        return np.concatenate(own), np.array([len(x) for x in own])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """block(), but a very long text goes in parts that end before white space."""
+        if len(offsets) > 2 or len(data) <= 4 * CHUNK:
+            return self.block(data, offsets)
+        spaces = np.flatnonzero((data == 32) | (data == 10))
+        cuts = np.unique(np.concatenate([[0], spaces[np.searchsorted(spaces, np.arange(CHUNK, spaces[-1] if len(spaces) else 0, CHUNK))], [len(data)]]).astype(np.int64))
+        ids = np.concatenate([self.block(data[a:e], np.array([0, e - a]))[0] for a, e in zip(cuts, cuts[1:])])
+        return ids, np.array([len(ids)])
+
+
 @cache
-def word_encoder(path: str) -> WordEncoder:
+def piece_encoder(path: str) -> PieceEncoder:
     """Once per worker."""
-    return WordEncoder(path)
+    return PieceEncoder(path)
+
+
+def with_end(ids: np.ndarray, count: np.ndarray, end_id: int) -> np.ndarray:
+    """The end id behind each text's ids."""
+    out = np.full(len(ids) + len(count), end_id, "<u4")
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
+    return out
 
 
 def write_ids(docs: DataFrame, to: str, tokenizer: str, end_id: int, text: str = "text") -> None:
     """Files of segments under to, in ascending doc_id order within and across files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        held: list[tuple[int | None, bytes]] = []
-        chars = 0
+        enc = piece_encoder(tokenizer)
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def segment() -> pa.RecordBatch:
-            ids = [x for _, x in held]
-            blob = write_segment(np.array([d or 0 for d, _ in held], "i8"), np.array([d is not None for d, _ in held]), np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<u4"))
+            doc_ids = pa.chunked_array([d for d, _, _ in held])
+            blob = write_segment(
+                doc_ids.fill_null(0).to_numpy(), doc_ids.is_valid().to_numpy(), np.concatenate([n for _, n, _ in held]), np.concatenate([x for _, _, x in held])
+            )
             return pa.record_batch([pa.array([blob], pa.binary())], ["segment"])
 
+        size = 0
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                held += [(d, x + end) for d, x in zip(part.column(0).to_pylist(), enc.encode(texts))]
-                chars += sum(map(len, texts))
-                if len(held) >= SEGMENT_DOCS or chars >= SEGMENT_CHARS:
+            for i, e, data, offsets in chunks(b.column(1)):
+                ids, count = enc.encode(data, offsets)
+                held.append((b.column(0).slice(i, e - i), count + 1, with_end(ids, count, end_id)))
+                size += len(data)
+                if sum(len(d) for d, _, _ in held) >= SEGMENT_DOCS or size >= SEGMENT_BYTES:
                     yield segment()
-                    held, chars = [], 0
+                    held, size = [], 0
         if held:
             yield segment()
 
