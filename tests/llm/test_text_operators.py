@@ -96,3 +96,20 @@ def test_chat(spark):
     for conv, turn, role, text in rows:
         assert tuple(back[conv]["back"][turn]) == (role or "", text or "", role == "assistant")
     assert chat_format.digest(chat_format.conversations(d.limit(0))).count() == 0
+
+
+def test_pieces_equal_the_library(monkeypatch):
+    import random
+
+    lib, draw = Tokenizer.from_file(WORD_MODEL), random.Random(5)
+    letters = "aAsStTmMdDrReEvVlL'''’  \n\t019.,!?<|>#ÀéÖßÿ×÷µİŁ½²\r\x0b\x1c\x00z"
+    texts = ["it's we'll I'RE 'tis ''s --'s 's's x'd'", "'", "s", "'r", "e", "", "É'É"]
+    texts += ["".join(draw.choices(letters[: draw.choice([30, 40, len(letters)])], k=draw.randint(0, 40))) for _ in range(5000)]
+    long = " ".join(texts).replace("<|", "")
+    monkeypatch.setattr(token_output, "CHUNK", 1 << 10)
+    enc = token_output.PieceEncoder(WORD_MODEL, 500)
+    for some in (texts, [long], [long.replace(" ", "").replace("\n", "")]):
+        data = [t.encode() for t in some]
+        ids, count = enc.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        got = np.split(ids, count.cumsum()[:-1])
+        assert [x.tolist() for x in got] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
