@@ -15,9 +15,9 @@ registers of a union are the maxima, and two sets agree in a register with about
    in common is bounded by the rest of either set, and so is its similarity.
 5. Every member of such a bucket is paired with the one that shares most of its set (the centre of a
    group of edited copies), and links are contracted again. Last, the members outside a bucket's largest
-   component are paired with all members of other components that the bound lets through, estimated and
-   verified. So components are those of all candidate pairs, and copies that are edited too much to be
-   linked with anything are dismissed by the bound rather than pair by pair.
+   component are paired with all members of other components that the bound lets through, also where it
+   is taken for each of PARTS parts of the sets by itself, estimated and verified. So components are
+   those of all candidate pairs, and hardly any pair below the threshold is tested on full sets.
 
 At similarity 0.85 a pair shares no bucket with probability (1 - 0.85^6)^36, 4 in 10^8; at 0.8, 2 in 10^5.
 
@@ -43,6 +43,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.1, 20.0, 255
 #: How far below the threshold an estimate may lie before the pair goes: five standard errors.
 MARGIN = 0.12
+#: Parts that sets are divided into by hash, to bound what two of them share part by part.
+PARTS = 128
 #: Ids of 8 bytes up to which a list of documents is broadcast rather than shuffled with the texts.
 BROADCAST_IDS = 500_000
 
@@ -259,7 +261,8 @@ def unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def common_sizes(sets: DataFrame) -> DataFrame:
-    """node, n, c: how many elements a set has, and how many of them some other set has too."""
+    """node, n, c, parts: how many elements a set has, how many of them some other set has too, and how
+    many of those each of PARTS parts holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,10 +272,24 @@ def common_sizes(sets: DataFrame) -> DataFrame:
                 node = np.repeat(part.column(0).to_numpy(), [len(e) for e in elements])
                 yield pa.record_batch([pa.array(node), pa.array(np.concatenate(elements))], ["node", "element"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in slices(batch, 64):
+                n, parts = [], []
+                for elements, own in zip(x.column(1), x.column(2)):
+                    e = np.frombuffer(elements.as_buffer(), np.int64)
+                    common = np.setdiff1d(e, own.values.to_numpy(), assume_unique=True) if own.is_valid else e
+                    n.append(len(e))
+                    parts.append(np.bincount(common & (PARTS - 1), minlength=PARTS))
+                yield pa.record_batch(
+                    [x.column(0), pa.array(n, pa.int64()), pa.array([int(p.sum()) for p in parts], pa.int64()), pa.array([p.tolist() for p in parts], pa.list_(pa.int32()))],
+                    ["node", "n", "c", "parts"],
+                )
+
     own = sets.select("node", "elements").mapInArrow(run, "node long, element long").groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    alone = own.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    size = sets.select("node", (F.octet_length("elements") / 8).cast("long").alias("n"))
-    return size.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+    # as many as the node's set has at most
+    alone = own.filter("n = 1").groupBy("node").agg(F.collect_list("element").alias("alone"))
+    return sets.join(alone, "node", "left").select("node", "elements", "alone").mapInArrow(count, "node long, n long, c long, parts array<int>")
 
 
 def possible(x: str, y: str, percent: int):
@@ -282,6 +299,12 @@ def possible(x: str, y: str, percent: int):
     return 100 * both >= percent * (F.col(f"n{x}") + F.col(f"n{y}") - both)
 
 
+def possible_by_parts(x: str, y: str, percent: int):
+    """The same with a closer bound: no part holds more of the common elements than either set has there."""
+    both = F.aggregate(F.zip_with(f"parts{x}", f"parts{y}", lambda p, q: F.least(p, q)), F.lit(0), lambda total, k: total + k)
+    return 100 * both >= percent * (F.col(f"n{x}") + F.col(f"n{y}") - both)
+
+
 def central(rows: DataFrame) -> DataFrame:
     """key, centre: the bucket's member with the largest part of its set in common with others."""
     return rows.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("part"), "node")).getField("node").alias("centre"))
@@ -295,17 +318,17 @@ def with_centre(rows: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
     return x.join(middle, "key").filter(F.col("compx") != F.col("compy")).filter(possible("x", "y", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def left_over(rows: DataFrame, centres: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def left_over(rows: DataFrame, centres: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a bucket that are in different components and weren't tested with its least
     node or its centre. Members of the largest component are met by the others only. Nodes that share
     several buckets meet in the one of the first band in which their registers agree."""
-    some = rows.join(centres, "key").filter("node <> leader and node <> centre").join(nodes.select("node", "regs"), "node")
-    side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp{x}"), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("regs").alias(f"regs{x}")]
+    some = rows.join(centres, "key").filter("node <> leader and node <> centre").join(nodes.select("node", "regs"), "node").join(parts, "node")
+    side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp{x}"), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("regs").alias(f"regs{x}"), F.col("parts").alias(f"parts{x}")]
     x = some.filter("comp <> main").select("key", "band", *side("x"))
     y = some.select("key", *side("y"), (F.col("comp") == F.col("main")).alias("in_main"))
     part = lambda regs, k: F.substring(regs, k * ROWS + 1, F.lit(ROWS))
     before = F.exists(F.slice(F.array(*map(F.lit, range(BANDS))), F.lit(1), F.col("band")), lambda k: part(F.col("regsx"), k) == part(F.col("regsy"), k))
-    wanted = (F.col("compx") != F.col("compy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & possible("x", "y", percent) & ~before
+    wanted = (F.col("compx") != F.col("compy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & possible("x", "y", percent) & ~before & possible_by_parts("x", "y", percent)
     return x.join(y, "key").filter(wanted).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -334,7 +357,8 @@ def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame
 
     rest = unsettled(members, comps)
     known = stored(sets_of(rest.select("node").distinct()).join(nodes.select("node", "n", "regs"), "node"))
-    rest = stored(rest.join(common_sizes(known), "node"))
+    common = stored(common_sizes(known.select("node", "elements")))
+    rest = stored(rest.join(common.select("node", "n", "c"), "node"))
     centres = stored(central(rest))
     more = stored(tested(with_centre(rest, centres, percent), known, percent))
     if not more.isEmpty():
@@ -342,7 +366,7 @@ def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame
         comps = components(links)
     now = labelled(rest.drop("comp", "main"), comps)
     main = now.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).getField("comp").alias("main")).filter("comps > 1").select("key", "main")
-    more = stored(tested(left_over(now.join(main, "key"), centres, nodes, percent), known, percent))
+    more = stored(tested(left_over(now.join(main, "key"), centres, nodes, common.select("node", "parts"), percent), known, percent))
     if not more.isEmpty():
         comps = components(links.unionAll(more))
     of_node = labelled(nodes.select("node", "digest", "first_id"), comps)
