@@ -232,9 +232,14 @@ class PieceEncoder:
             self.ids_at.append(cuts + self.ids.n)
             self.data.append(own)
             self.ids.append(ids)
-        place = np.arange(self.keys.n, self.keys.n + len(keys), dtype=np.int32)
         self.keys.append(keys)
-        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        first = self.keys.n - len(keys)
+        if 2 * self.keys.n > self.mask:
+            # one block may bring more pieces than there are places
+            self.mask = (1 << (4 * self.keys.n).bit_length()) - 1
+            self.table, first = np.full(self.mask + 1, -1, np.int32), 0
+        place = np.arange(first, self.keys.n, dtype=np.int32)
+        at = (self.keys.room[first : self.keys.n] & np.uint64(self.mask)).astype(np.int64)
         while len(place):
             free = self.table[at] < 0
             self.table[at[free]] = place[free]
