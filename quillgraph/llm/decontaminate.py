@@ -4,18 +4,19 @@ Texts become lower-case tokens without punctuation. In a template, numbers, name
 inside a sentence) and units behind a number give way to typed placeholders. Windows of WINDOW template
 tokens with LITERALS or more words that are no placeholders are hashed; documents' windows meet those of
 the benchmark in a hash join. For each document, item and alignment the slots behind the placeholders
-are then compared: one value of the item must stand for one value in the document throughout. So a
-question with other numbers or names is found, and chance matches of empty templates are not. Names are
-matched as plain words too, for copies that lost their capitals.
+are then compared: for each value of the item, the value that stands for it most often in the document
+counts, and windows with another one are dropped unless they are the item's word for word. So a question
+with other numbers or names is found, and so is one with a single value edited. Names are matched as
+plain words too, for copies that lost their capitals.
 
-A document is contaminated by an item if SHARE of the item's windows are found in consistent alignments.
+A document is contaminated by an item if SHARE of the item's windows are found in consistent places.
 
 Defined cases: null and empty texts are clean. Items of fewer than WINDOW tokens, or without a window of
 enough words, can't be told from chance and match nothing. Items with equal templates are reported as
 the one with the least item_id. Rows that share a doc_id are judged each by its own text. Other columns
 pass through; the columns that are added replace others of their names.
 """
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, stored
@@ -105,11 +106,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     keyed = docs.withColumn("rid", F.xxhash64("doc_id", text)).select("rid", text).join(F.broadcast(wanted) if few else wanted, "rid", "left_semi")
     hit_rows = keyed.dropDuplicates(["rid"]).select("rid", F.split(plain(F.col(text)), " ").alias("t_rid"))
     slots = with_item.join(hit_rows, "rid")
-    slots = slots.select("rid", "item_id", (F.col("pos") - F.col("at")).alias("shift"), F.explode(F.transform("item_slots", lambda x: F.struct(x["value"].alias("item"), F.replace(F.get("t_rid", F.col("pos") + x["place"]), F.lit(NAME), F.lit("")).alias("doc")))).alias("v"))
-    # one value of the item, one value of the document, along each alignment
-    maps = slots.groupBy("rid", "item_id", "shift", "v.item").agg(F.min("v.doc").alias("lo"), F.max("v.doc").alias("hi"), F.max(F.col("v.doc") != F.col("v.item")).alias("other"))
-    clash = maps.groupBy("rid", "item_id", "shift").agg(F.max(F.col("lo") != F.col("hi")).alias("clash"), F.max("other").alias("other"))
-    kept = hits.withColumn("shift", F.col("pos") - F.col("at")).join(clash, ["rid", "item_id", "shift"], "left").filter(~F.coalesce("clash", F.lit(False)))
+    slots = slots.select("rid", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"), F.explode(F.transform("item_slots", lambda x: F.struct((F.col("at") + x["place"]).alias("place"), x["value"].alias("item"), F.replace(F.get("t_rid", F.col("pos") + x["place"]), F.lit(NAME), F.lit("")).alias("doc")))).alias("v"))
+    # along each alignment, the value of the document that stands most often for a value of the item
+    values = slots.select("rid", "item_id", "at", "shift", "v.place", "v.item", "v.doc").repartition("rid", "item_id")
+    alignment = ["rid", "item_id", "shift", "item"]
+    values = values.withColumn("n", F.size(F.collect_set("place").over(Window.partitionBy(*alignment, "doc"))))
+    usual = F.first("doc").over(Window.partitionBy(*alignment).orderBy(F.desc("n"), F.desc(F.col("doc") == F.col("item")), "doc"))
+    other = F.max(F.col("doc") != F.col("item")).alias("other")
+    checked = values.withColumn("usual", usual).groupBy("rid", "item_id", "shift", "at").agg(F.min(F.col("doc") == F.col("usual")).alias("agrees"), other)
+    kept = hits.withColumn("shift", F.col("pos") - F.col("at")).join(checked, ["rid", "item_id", "shift", "at"], "left").filter(F.coalesce(F.col("agrees") | ~F.col("other"), F.lit(True)))
     per = kept.groupBy("rid", "item_id").agg(F.countDistinct("at").alias("n"), F.max(F.coalesce("other", F.lit(False))).alias("reparameterised"))
     return per.join(total, "item_id").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= SHARE).select("rid", "item_id", "share", "reparameterised")
 

@@ -26,3 +26,11 @@ def test_repeated_ids_and_empty_tables(spark):
     assert sorted((r["doc_id"] or 0, r["contaminated"]) for r in decontaminate.report(d, b).collect()) == [(0, True), (1, False), (1, True), (1, True)]
     assert decontaminate.report(d, b.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.report(d.limit(0), b).count() == 0
+
+
+def test_one_slot_that_disagrees_drops_its_own_windows_only(spark):
+    bag = "There are 5 apples in the red wooden bowl on the kitchen table and there are also 5 pears in the blue basket by the door"
+    mixed = ITEM.replace("meets Alice", "meets Mara")
+    got = run(spark, [(1, FILL + mixed, 0), (2, FILL + bag.replace("5 apples", "7 apples").replace("5 pears", "9 pears"), 0), (3, "1 2 3 4 5 6 7 8 9 10 11 12 13", 0)], [(7, ITEM), (8, bag)])
+    assert {k: r["item_ids"] for k, r in got.items()} == {1: [7], 2: [8], 3: []}
+    assert 0.3 <= got[1]["share"] < 1 and got[2]["reparameterised"]
