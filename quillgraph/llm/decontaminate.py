@@ -12,8 +12,8 @@ plain words too, for copies that lost their capitals.
 A document is contaminated by an item if SHARE of the item's windows are found in consistent places.
 
 Defined cases: null and empty texts are clean. Items of fewer than WINDOW tokens, or without a window of
-enough words, can't be told from chance and match nothing. Items with equal templates are reported as
-the one with the least item_id. Rows that share a doc_id are judged each by its own text. Other columns
+enough words, can't be told from chance and match nothing. Items with equal templates are each checked
+and reported; where one of them stands word for word, only those that do are reported there. Rows that share a doc_id are judged each by its own text. Other columns
 pass through; the columns that are added replace others of their names.
 """
 from pyspark.sql import Column, DataFrame, Window
@@ -87,36 +87,46 @@ def _slots(tokens: Column, template_tokens: Column, pos: Column) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """rid (hash of a document's id and text), item_id, share, reparameterised, for documents and items
     that match."""
-    items = benchmark.select(F.col("item_id").cast("long"), plain(F.col("text")).alias("tokens")).filter("tokens <> ''")
-    items = items.groupBy(template(F.col("tokens")).alias("same")).agg(F.min(F.struct("item_id", "tokens")).alias("x")).select("x.*")
-    items = stored(items)
-    located = stored(_located(items, "item_id").withColumnRenamed("pos", "at").dropDuplicates(["window", "item_id", "at"]))
-    total = located.groupBy("item_id").agg(F.countDistinct("at").alias("total"))
+    items = benchmark.select(F.col("item_id").cast("long"), plain(F.col("text")).alias("tokens")).filter("tokens <> ''").distinct()
+    same, bare = template(F.col("tokens")), F.coalesce(template(unnamed(F.col("tokens"))), F.lit(""))
+    items = stored(items.withColumn("item", F.xxhash64("item_id", "tokens")).withColumn("same", F.xxhash64(same)).withColumn("form", F.xxhash64(same, bare)))
+    # windows are those of a form; its items differ in numbers and units only and meet the documents below
+    forms = items.groupBy("form").agg(F.min("tokens").alias("tokens"))
+    located = stored(_located(forms, "form").withColumnRenamed("pos", "at").dropDuplicates(["window", "form", "at"]))
+    total = located.groupBy("form").agg(F.countDistinct("at").alias("total"))
     rows = docs.select(F.xxhash64("doc_id", text).alias("rid"), plain(F.col(text)).alias("tokens"))
     found = _located(rows, "rid")
-    known = located.select("window", "item_id", "at")
-    hits = stored(found.join(F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known, "window").select("rid", "item_id", "pos", "at").distinct())
-
-    split = lambda r, k: r.select(k, F.split("tokens", " ").alias(f"t_{k}"), F.split(template(F.col("tokens")), " ").alias(f"s_{k}"))
-    with_item = hits.join(split(items, "item_id"), "item_id").withColumn("item_slots", _slots(F.col("t_item_id"), F.col("s_item_id"), F.col("at")))
-    with_item = stored(with_item.filter(F.size("item_slots") > 0).select("rid", "item_id", "pos", "at", "item_slots"))
+    known = located.select("window", "form", "at")
+    hits = stored(found.join(F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known, "window").select("rid", "form", "pos", "at").distinct())
+    # the slots only take windows away: what has too few with them has too few without
+    likely = hits.groupBy("rid", "form").agg(F.countDistinct("at").alias("n")).join(total, "form").filter(F.col("n") >= SHARE * F.col("total")).select("rid", "form", "total")
+    hits = stored(hits.join(likely, ["rid", "form"]).join(items.select("form", "same", "item", "item_id"), "form").withColumn("shift", F.col("pos") - F.col("at")))
+
+    with_item = hits.select("rid", "item", "pos", "at", "shift").join(items.select("item", F.split("tokens", " ").alias("t_item"), F.split(template(F.col("tokens")), " ").alias("s_item")), "item")
+    with_item = with_item.withColumn("item_slots", _slots(F.col("t_item"), F.col("s_item"), F.col("at")))
+    with_item = stored(with_item.filter(F.size("item_slots") > 0).select("rid", "item", "pos", "at", "shift", "item_slots"))
     # only documents with slots in their hits are looked at again; their ids are broadcast as far as the bound goes
     wanted = stored(with_item.select("rid").distinct())
     few = wanted.count() <= BROADCAST_IDS
     keyed = docs.withColumn("rid", F.xxhash64("doc_id", text)).select("rid", text).join(F.broadcast(wanted) if few else wanted, "rid", "left_semi")
     hit_rows = keyed.dropDuplicates(["rid"]).select("rid", F.split(plain(F.col(text)), " ").alias("t_rid"))
     slots = with_item.join(hit_rows, "rid")
-    slots = slots.select("rid", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"), F.explode(F.transform("item_slots", lambda x: F.struct((F.col("at") + x["place"]).alias("place"), x["value"].alias("item"), F.replace(F.get("t_rid", F.col("pos") + x["place"]), F.lit(NAME), F.lit("")).alias("doc")))).alias("v"))
+    slots = slots.select("rid", "item", "at", "shift", F.explode(F.transform("item_slots", lambda x: F.struct((F.col("at") + x["place"]).alias("place"), x["value"].alias("own"), F.replace(F.get("t_rid", F.col("pos") + x["place"]), F.lit(NAME), F.lit("")).alias("doc")))).alias("v"))
     # along each alignment, the value of the document that stands most often for a value of the item
-    values = slots.select("rid", "item_id", "at", "shift", "v.place", "v.item", "v.doc").repartition("rid", "item_id")
-    alignment = ["rid", "item_id", "shift", "item"]
-    values = values.withColumn("n", F.size(F.collect_set("place").over(Window.partitionBy(*alignment, "doc"))))
-    usual = F.first("doc").over(Window.partitionBy(*alignment).orderBy(F.desc("n"), F.desc(F.col("doc") == F.col("item")), "doc"))
-    other = F.max(F.col("doc") != F.col("item")).alias("other")
-    checked = values.withColumn("usual", usual).groupBy("rid", "item_id", "shift", "at").agg(F.min(F.col("doc") == F.col("usual")).alias("agrees"), other)
-    kept = hits.withColumn("shift", F.col("pos") - F.col("at")).join(checked, ["rid", "item_id", "shift", "at"], "left").filter(F.coalesce(F.col("agrees") | ~F.col("other"), F.lit(True)))
-    per = kept.groupBy("rid", "item_id").agg(F.countDistinct("at").alias("n"), F.max(F.coalesce("other", F.lit(False))).alias("reparameterised"))
-    return per.join(total, "item_id").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= SHARE).select("rid", "item_id", "share", "reparameterised")
+    values = slots.select("rid", "item", "at", "shift", "v.place", "v.own", "v.doc").repartition("rid", "item")
+    alignment = ["rid", "item", "shift"]
+    values = values.withColumn("n", F.size(F.collect_set("place").over(Window.partitionBy(*alignment, "own", "doc"))))
+    usual = F.first("doc").over(Window.partitionBy(*alignment, "own").orderBy(F.desc("n"), F.desc(F.col("doc") == F.col("own")), "doc"))
+    other = F.max(F.col("doc") != F.col("own")).alias("other")
+    checked = values.withColumn("usual", usual).groupBy(*alignment, "at").agg(F.min(F.col("doc") == F.col("usual")).alias("agrees"), other)
+    judged = hits.join(checked, [*alignment, "at"], "left").withColumn("other", F.coalesce("other", F.lit(False)))
+    # where an item stands word for word, it isn't also another item of its template with changed slots
+    exact = ~F.max("other").over(Window.partitionBy("rid", "same", "shift", "item")) & (F.count("*").over(Window.partitionBy("rid", "same", "shift", "item")) >= SHARE * F.col("total"))
+    judged = judged.repartition("rid", "same").withColumn("exact", exact).withColumn("copied", F.max("exact").over(Window.partitionBy("rid", "same", "shift")))
+    kept = judged.filter((F.coalesce("agrees", F.lit(True)) | ~F.col("other")) & (F.col("exact") | ~F.col("copied")))
+    per = kept.groupBy("rid", "item", "item_id", "total").agg(F.countDistinct("at").alias("n"), F.max("other").alias("reparameterised"))
+    per = per.withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= SHARE)
+    return per.groupBy("rid", "item_id").agg(F.max("share").alias("share"), F.max("reparameterised").alias("reparameterised"))
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

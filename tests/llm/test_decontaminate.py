@@ -34,3 +34,11 @@ def test_one_slot_that_disagrees_drops_its_own_windows_only(spark):
     got = run(spark, [(1, FILL + mixed, 0), (2, FILL + bag.replace("5 apples", "7 apples").replace("5 pears", "9 pears"), 0), (3, "1 2 3 4 5 6 7 8 9 10 11 12 13", 0)], [(7, ITEM), (8, bag)])
     assert {k: r["item_ids"] for k, r in got.items()} == {1: [7], 2: [8], 3: []}
     assert 0.3 <= got[1]["share"] < 1 and got[2]["reparameterised"]
+
+
+def test_every_item_of_a_template_is_checked(spark):
+    text = "Each of the small boxes holds {} red marbles and every one of the large boxes holds {} blue marbles in it"
+    got = run(spark, [(1, FILL + text.format(3, 5), 0), (2, FILL + text.format(8, 9), 0), (3, FILL + text.format(3, 3), 0)], [(1, text.format(3, 3)), (2, text.format(3, 5)), (5, text.format(3, 5)), (6, text.format(4, 6))])
+    assert got[1]["item_ids"] == [2, 5] and not got[1]["reparameterised"]
+    assert {2, 5, 6} <= set(got[2]["item_ids"]) and got[2]["reparameterised"]
+    assert got[3]["item_ids"] == [1]
