@@ -9,10 +9,13 @@ counts, and windows with another one are dropped unless they are the item's word
 with other numbers or names is found, and so is one with a single value edited. Names are matched as
 plain words too, for copies that lost their capitals.
 
-A document is contaminated by an item if SHARE of the item's windows are found in consistent places.
+A document is contaminated by an item if SHARE of the item's windows are found in consistent places, or
+a run of RUN words of it. Items of fewer than WINDOW tokens, or without a window of enough words, have no
+windows: they match lines and sentences of a document as a whole. Characters of scripts without spaces
+are tokens each.
 
-Defined cases: null and empty texts are clean. Items of fewer than WINDOW tokens, or without a window of
-enough words, can't be told from chance and match nothing. Items with equal templates are each checked
+Defined cases: null and empty texts are clean. Items without windows that stand inside a longer sentence
+can't be told from chance and don't match. Items with equal templates are each checked
 and reported; where one of them stands word for word, only those that do are reported there. Rows that share a doc_id are judged each by its own text. Other columns
 pass through; the columns that are added replace others of their names.
 """
@@ -22,6 +25,14 @@ from pyspark.sql import functions as F
 from .common import let, stored
 
 WINDOW, LITERALS, SHARE = 8, 4, 0.3
+#: Words of a consistent run that count whatever the item's length.
+RUN = 50
+#: Words that are no placeholders from which an item without windows matches with other slots too.
+SHORT_LITERALS = 2
+#: Scripts without spaces between words: Thai to Tibetan, Burmese, Khmer, kana, Han.
+UNSPACED = r"[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+#: Ends of lines and sentences.
+BREAK = r"[\n\r]+|(?<=[.!?])[\x20\t]+|[。！？]"
 #: Windows of the benchmark up to which they are broadcast (under 50 bytes each); beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 200_000
 #: The same for ids of documents, of 8 bytes.
@@ -32,8 +43,9 @@ UNITS = "mm cm m km inch inches ft feet yard yards mile miles mg g kg lb lbs ton
 
 
 def plain(text: Column) -> Column:
-    """Lower-case tokens joined by single spaces; names carry NAME in front."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?<=[\p{Ll},;][ ]\p{Lu})(?=\p{Ll})", NAME + "$0")
+    """Lower-case tokens joined by single spaces, characters of UNSPACED one by one; names carry NAME in front."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), UNSPACED, " $0 ")
+    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;][ ]\p{Lu})(?=\p{Ll})", NAME + "$0")
     text = F.regexp_replace(text, r"[.,](?<=[0-9][.,])(?=[0-9])", "")
     return F.trim(F.lower(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{NAME}]+", " ")))
 
@@ -84,10 +96,47 @@ def _slots(tokens: Column, template_tokens: Column, pos: Column) -> Column:
     return F.filter(at, lambda x: x.isNotNull())
 
 
+def _keyed(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, tokens without NAME, key: the template, and the one with names as plain words where they are."""
+    both = F.array_distinct(F.array_compact(F.array(template(F.col("tokens")), template(unnamed(F.col("tokens"))))))
+    return rows.select(*keys, F.replace("tokens", F.lit(NAME), F.lit("")).alias("tokens"), F.explode(both).alias("key"))
+
+
+def _segments(text: Column) -> Column:
+    """plain() of each line or sentence that has tokens."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), plain), lambda x: x != "")
+
+
+def short_matches(docs: DataFrame, short: DataFrame, text: str) -> DataFrame:
+    """matches() for items without windows, of short(item_id, text): whole lines and sentences with the
+    item's template and slots that agree, or that equal the item."""
+    items = short.select("item_id", _segments(F.col("text")).alias("parts")).filter(F.size("parts") > 0)
+    items = items.select("item_id", F.size("parts").alias("k"), F.array_join("parts", " ").alias("tokens"))
+    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())
+    if not sizes:
+        return docs.select(F.lit(0).cast("long").alias("rid"), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("share"), F.lit(False).alias("reparameterised")).limit(0)
+
+    def runs(parts: Column, k: int) -> Column:
+        return F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - (k - 1), F.lit(0))), lambda x, i: F.array_join(F.slice(parts, i + 1, k), " "))
+
+    segments = let(_segments(F.col(text)), lambda parts: F.array_distinct(F.concat(*(runs(parts, k) for k in sizes))))
+    rows = _keyed(docs.select(F.xxhash64("doc_id", text).alias("rid"), F.explode(segments).alias("tokens")), "rid")
+    known = stored(_keyed(items, "item_id").select("item_id", F.col("tokens").alias("own"), "key").distinct())
+    met = rows.join(F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known, "key")
+    slot = lambda x: x.isin(NAME, NUMBER, UNIT)
+    pairs = F.transform(F.split("key", " "), lambda x, i: F.when(slot(x), F.struct(F.get(F.split("own", " "), i).alias("own"), F.get(F.split("tokens", " "), i).alias("doc"))))
+    met = met.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))).withColumn("exact", F.col("own") == F.col("tokens"))
+    agrees = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["own"])))
+    words = F.size(F.filter(F.split("key", " "), lambda x: ~slot(x)))
+    met = met.filter(F.col("exact") | (agrees & (words >= SHORT_LITERALS)))
+    met = met.withColumn("copied", F.max("exact").over(Window.partitionBy("rid", "key", "tokens"))).filter(F.col("exact") | ~F.col("copied"))
+    return met.groupBy("rid", "item_id").agg(F.lit(1.0).alias("share"), F.max(~F.col("exact")).alias("reparameterised"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """rid (hash of a document's id and text), item_id, share, reparameterised, for documents and items
     that match."""
-    items = benchmark.select(F.col("item_id").cast("long"), plain(F.col("text")).alias("tokens")).filter("tokens <> ''").distinct()
+    items = benchmark.select(F.col("item_id").cast("long"), "text", plain(F.col("text")).alias("tokens")).filter("tokens <> ''").dropDuplicates(["item_id", "tokens"])
     same, bare = template(F.col("tokens")), F.coalesce(template(unnamed(F.col("tokens"))), F.lit(""))
     items = stored(items.withColumn("item", F.xxhash64("item_id", "tokens")).withColumn("same", F.xxhash64(same)).withColumn("form", F.xxhash64(same, bare)))
     # windows are those of a form; its items differ in numbers and units only and meet the documents below
@@ -98,8 +147,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     found = _located(rows, "rid")
     known = located.select("window", "form", "at")
     hits = stored(found.join(F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known, "window").select("rid", "form", "pos", "at").distinct())
-    # the slots only take windows away: what has too few with them has too few without
-    likely = hits.groupBy("rid", "form").agg(F.countDistinct("at").alias("n")).join(total, "form").filter(F.col("n") >= SHARE * F.col("total")).select("rid", "form", "total")
+    # the slots only take windows away: what has too few with them has too few without; a run of RUN words
+    # has as many windows at least as lie end to end in it
+    enough = F.least(SHARE * F.col("total"), F.lit(float(-(-(RUN - WINDOW) // WINDOW) + 1)))
+    likely = hits.groupBy("rid", "form").agg(F.countDistinct("at").alias("n")).join(total, "form").filter(F.col("n") >= enough).select("rid", "form", "total")
     hits = stored(hits.join(likely, ["rid", "form"]).join(items.select("form", "same", "item", "item_id"), "form").withColumn("shift", F.col("pos") - F.col("at")))
 
     with_item = hits.select("rid", "item", "pos", "at", "shift").join(items.select("item", F.split("tokens", " ").alias("t_item"), F.split(template(F.col("tokens")), " ").alias("s_item")), "item")
@@ -121,11 +172,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     checked = values.withColumn("usual", usual).groupBy(*alignment, "at").agg(F.min(F.col("doc") == F.col("usual")).alias("agrees"), other)
     judged = hits.join(checked, [*alignment, "at"], "left").withColumn("other", F.coalesce("other", F.lit(False)))
     # where an item stands word for word, it isn't also another item of its template with changed slots
-    exact = ~F.max("other").over(Window.partitionBy("rid", "same", "shift", "item")) & (F.count("*").over(Window.partitionBy("rid", "same", "shift", "item")) >= SHARE * F.col("total"))
+    exact = ~F.max("other").over(Window.partitionBy("rid", "same", "shift", "item")) & (F.count("*").over(Window.partitionBy("rid", "same", "shift", "item")) >= enough)
     judged = judged.repartition("rid", "same").withColumn("exact", exact).withColumn("copied", F.max("exact").over(Window.partitionBy("rid", "same", "shift")))
     kept = judged.filter((F.coalesce("agrees", F.lit(True)) | ~F.col("other")) & (F.col("exact") | ~F.col("copied")))
-    per = kept.groupBy("rid", "item", "item_id", "total").agg(F.countDistinct("at").alias("n"), F.max("other").alias("reparameterised"))
-    per = per.withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= SHARE)
+    # windows that overlap or touch along an alignment form a run: each of its words is in one of them
+    line = Window.partitionBy(*alignment)
+    starts = F.coalesce(F.col("at") - F.lag("at").over(line.orderBy("at")) > WINDOW, F.lit(True)).cast("int")
+    kept = kept.withColumn("starts", starts).withColumn("chain", F.sum("starts").over(line.orderBy("at")))
+    kept = kept.withColumn("run", F.col("at") - F.min("at").over(Window.partitionBy(*alignment, "chain")) + WINDOW)
+    per = kept.groupBy("rid", "item", "item_id", "total").agg(F.countDistinct("at").alias("n"), F.max("run").alias("run"), F.max("other").alias("reparameterised"))
+    per = per.withColumn("share", F.col("n") / F.col("total")).filter((F.col("share") >= SHARE) | (F.col("run") >= RUN)).select("rid", "item_id", "share", "reparameterised")
+    short = stored(items.join(total, "form", "left_anti").select("item_id", "text"))
+    if not short.isEmpty():
+        per = per.unionByName(short_matches(docs, short, text))
     return per.groupBy("rid", "item_id").agg(F.max("share").alias("share"), F.max("reparameterised").alias("reparameterised"))
 
 

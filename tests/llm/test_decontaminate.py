@@ -42,3 +42,19 @@ def test_every_item_of_a_template_is_checked(spark):
     assert got[1]["item_ids"] == [2, 5] and not got[1]["reparameterised"]
     assert {2, 5, 6} <= set(got[2]["item_ids"]) and got[2]["reparameterised"]
     assert got[3]["item_ids"] == [1]
+
+
+def test_long_runs_short_items_and_unspaced_scripts(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    words = [word() for _ in range(500)]
+    han = "某商店上午卖出苹果若干下午又卖出梨若干请问全天一共卖出水果多少"
+    docs = [
+        (1, FILL + " ".join(words[200:300]), 0), (2, FILL + " ".join(words[200:240]), 0), (3, f"{FILL}\nWhat is 3 times 9?\n{FILL}", 0), (4, FILL + "what is 2 times 7 of " + FILL, 0),
+        (5, "前言" + han + "结束", 0), (6, "第 12 页\n42", 0), (7, "see 43\n43", 0), (8, "So. Name it. What is 2 times 7? Yes", 0),
+    ]
+    got = run(spark, docs, [(1, " ".join(words)), (2, "What is 2 times 7?"), (3, han), (4, "42"), (5, "Name it! What is 2 times 7?")])
+    assert {k: v["item_ids"] for k, v in got.items()} == {1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [4], 7: [], 8: [2, 5]}
+    assert got[3]["reparameterised"] and not got[8]["reparameterised"] and got[1]["share"] < 0.3
