@@ -31,6 +31,8 @@ RUN = 50
 SHORT_LITERALS = 2
 #: Scripts without spaces between words: Thai to Tibetan, Burmese, Khmer, kana, Han.
 UNSPACED = r"[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+#: One range with all of them, which is quicker to look for.
+BEYOND = r"[\u0E00-\x{3FFFF}]"
 #: Ends of lines and sentences.
 BREAK = r"[\n\r]+|(?<=[.!?])[\x20\t]+|[。！？]"
 #: Windows of the benchmark up to which they are broadcast (under 50 bytes each); beyond it both sides are shuffled.
@@ -44,7 +46,8 @@ UNITS = "mm cm m km inch inches ft feet yard yards mile miles mg g kg lb lbs ton
 
 def plain(text: Column) -> Column:
     """Lower-case tokens joined by single spaces, characters of UNSPACED one by one; names carry NAME in front."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), UNSPACED, " $0 ")
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(text.rlike(BEYOND), F.regexp_replace(text, UNSPACED, " $0 ")).otherwise(text)
     text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;][ ]\p{Lu})(?=\p{Ll})", NAME + "$0")
     text = F.regexp_replace(text, r"[.,](?<=[0-9][.,])(?=[0-9])", "")
     return F.trim(F.lower(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{NAME}]+", " ")))
