@@ -120,7 +120,8 @@ def candidates(text: Column) -> Column:
     out = []
     for kind, pattern in GENERATORS.items():
         made = F.transform(located(text, pattern), _candidate(kind))
-        out.append(F.when(text.rlike("[0-9]"), made).otherwise(F.array().cast("array<struct<start:int,end:int,kind:int,f:array<double>>>")))
+        none = F.array().cast("array<struct<start:int,end:int,kind:int,f:array<double>>>")
+        out.append(made if kind == "secret" else F.when(text.rlike("[0-9]"), made).otherwise(none))
     return F.concat(*out)
 
 
@@ -136,7 +137,7 @@ def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, int, str
         kind, label = r.choice(list(GENERATORS)), r.randint(0, 1)
         lead = " ".join(word() for _ in range(r.randint(2, 6))) + " "
         if kind == "secret" and label:
-            s = r.choice([lambda: any_of("0123456789abcdef", r.choice([32, 40, 64])), lambda: any_of(string.ascii_letters + string.digits, r.randint(16, 48)), lambda: "sk_" + any_of(string.ascii_letters + string.digits, 24)])()
+            s = r.choice([lambda: any_of("0123456789abcdef", r.choice([32, 40, 64])), lambda: any_of(string.ascii_letters + string.digits, r.randint(16, 48)), lambda: "sk_" + any_of(string.ascii_letters + string.digits, 24), lambda: any_of(string.ascii_letters, r.randint(16, 40))])()
             lead += r.choice(['token = "', "secret: ", "api_key=", 'password = "', "key: ", "bearer "]) if r.random() < 0.85 else ""
         elif kind == "secret":
             s = r.choice([lambda: word(6, 12), lambda: word(3, 6) + "-" + word(3, 5), lambda: word(4, 8) + ".", lambda: digits(r.randint(12, 20)), lambda: word(3, 6) + "_" + digits(2), lambda: "=" * r.randint(12, 30), lambda: f"{word(3, 6)}/{word(3, 6)}/{digits(4)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: ".".join(digits(r.randint(1, 3)) for _ in range(4))])()

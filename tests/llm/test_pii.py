@@ -79,3 +79,9 @@ def test_trees_agree_with_their_column(spark):
 
 def test_empty_table(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_secret_without_any_digit(spark):
+    key = "qWjKxZpLmNvBtRyUsDfGhTcE"
+    docs = spark.createDataFrame([(1, f"ab password: {key} cd"), (2, "the establishmentarianism walks on")], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()} == {1: f"secret:13:{13 + len(key)}", 2: ""}
