@@ -39,6 +39,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 WORD = r"(?:token|secret|password|passwd|passphrase|credential|bearer|api[_ -]?key|access[_ -]?key|private[_ -]?key|key|pwd)"
+#: Key words whose value is a secret whatever it looks like.
+STRONG = r"(?:password|passwd|passphrase|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key)"
+#: A key word, = or :, and what stands in front of the value; a value is quoted, or ends at white space.
+KEYED = rf"(?i:{WORD})[\"']?[\x20\t]{{0,2}}(?::=|=>|[=:])[\x20\t]{{0,2}}"
+VALUE = r"(?:\"[^\"\n]++(?=\")|'[^'\n]++(?=')|[\"']?[^\s\"'](?:[^\s\"',;.)\]}>]|[,;.)\]}>](?=[^\s\"']))*+)"
 GENERATORS = {
     "secret": r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z0-9+/_=.~-]{12,}+",
     "id": r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])",
@@ -66,6 +71,17 @@ def located(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), placed)).otherwise(F.array().cast("array<struct<start:int,end:int,s:string,before:string>>"))
 
 
+def keyed(text: Column) -> Column:
+    """located() of the values after a key word and = or :, of any length."""
+
+    def value(x: Column) -> Column:
+        front = F.regexp_extract(x["s"], rf"^{KEYED}[\"']?", 0)
+        before = F.concat(x["before"], front)
+        return F.struct((x["start"] + F.length(front)).alias("start"), x["end"].alias("end"), F.substr(x["s"], F.length(front) + 1).alias("s"), F.substring(before, -CONTEXT, CONTEXT).alias("before"))
+
+    return F.transform(located(text, KEYED + VALUE), value)
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -103,7 +119,7 @@ def features(x: Column, kind: str) -> list[Column]:
         share("0-9a-fA-F"),
         share("aeiouAEIOU"),
         F.size(F.array_distinct(F.split(s, ""))) / n,
-        x["before"].rlike(rf"(?i){WORD}[\"' ]*(?:[=:]|is|was)?[\"' ]*$").cast("double"),
+        F.when(x["before"].rlike(rf"(?i){STRONG}[\"' ]*(?:[=:]|=>|:=)[\"' ]*$"), 2.0).otherwise(x["before"].rlike(rf"(?i){WORD}[\"' ]*(?:[=:]|is|was)?[\"' ]*$").cast("double")),
         x["before"].rlike(r"[=:][\"' ]*$").cast("double"),
         x["before"].rlike(r"(?i)(?:phone|tel|call|mobile|fax|iban|account|ssn|social|id|no)[^a-z]{0,6}$").cast("double"),
         F.length(F.regexp_replace(s, r"[^0-9][0-9]|[0-9][^0-9]", "")) / n,
@@ -122,7 +138,7 @@ def candidates(text: Column) -> Column:
         made = F.transform(located(text, pattern), _candidate(kind))
         none = F.array().cast("array<struct<start:int,end:int,kind:int,f:array<double>>>")
         out.append(made if kind == "secret" else F.when(text.rlike("[0-9]"), made).otherwise(none))
-    return F.concat(*out)
+    return F.concat(*out, F.transform(keyed(text), _candidate("secret")))
 
 
 def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, int, str, int]]:
@@ -139,9 +155,15 @@ def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, int, str
         if kind == "secret" and label:
             s = r.choice([lambda: any_of("0123456789abcdef", r.choice([32, 40, 64])), lambda: any_of(string.ascii_letters + string.digits, r.randint(16, 48)), lambda: "sk_" + any_of(string.ascii_letters + string.digits, 24), lambda: any_of(string.ascii_letters, r.randint(16, 40))])()
             lead += r.choice(['token = "', "secret: ", "api_key=", 'password = "', "key: ", "bearer "]) if r.random() < 0.85 else ""
+            if r.random() < 0.4:
+                s = r.choice([lambda: any_of(string.ascii_letters + string.digits, r.randint(6, 11)), lambda: word(2, 3) + digits(r.randint(1, 3)), lambda: word(3, 6)])()
+                lead = lead.split(" ")[0] + r.choice([" password: ", " password=", ' password = "', " passwd: ", " pwd=", " api_key=", " passphrase: "])
         elif kind == "secret":
             s = r.choice([lambda: word(6, 12), lambda: word(3, 6) + "-" + word(3, 5), lambda: word(4, 8) + ".", lambda: digits(r.randint(12, 20)), lambda: word(3, 6) + "_" + digits(2), lambda: "=" * r.randint(12, 30), lambda: f"{word(3, 6)}/{word(3, 6)}/{digits(4)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: ".".join(digits(r.randint(1, 3)) for _ in range(4))])()
             lead += r.choice(["", "", "", "key: "])
+            if r.random() < 0.3:
+                s = word(1, 3)
+                lead += r.choice(["key: ", "token: ", "secret: ", "key="])
         elif kind == "id":
             s = f"{digits(3)}-{digits(2)}-{digits(4)}"
             lead += r.choice(["ssn ", "social security no. ", "ID: "]) if label else r.choice(["", "", "part ", "see "])
@@ -171,11 +193,15 @@ def learned(spark: SparkSession) -> tuple[boosting.Model, dict[str, float]]:
     made = examples()
     lit = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("text")) for i, (t, *_) in enumerate(made)))
     found = spark.range(1).select(F.explode(lit).alias("x")).select("x.*").select("i", F.explode(candidates(F.col("text"))).alias("c")).select("i", "c.*").collect()
-    rows = []
+    rows, proposed = [], set()
     for r in sorted(found):
         _, start, end, kind, label = made[r["i"]]
         own = r["kind"] == KINDS.index(kind) and r["start"] == start and abs(r["end"] - end) <= 1
         rows.append((tuple(r["f"]), int(own and label)))
+        proposed |= {r["i"]} if own else set()
+    missed = [x for i, x in enumerate(made) if x[4] and i not in proposed]
+    if missed:
+        raise ValueError(f"no generator proposes {len(missed)} examples at their start, such as {missed[0]}")
     return _fitted(tuple(rows))
 
 

@@ -85,3 +85,10 @@ def test_secret_without_any_digit(spark):
     key = "qWjKxZpLmNvBtRyUsDfGhTcE"
     docs = spark.createDataFrame([(1, f"ab password: {key} cd"), (2, "the establishmentarianism walks on")], "doc_id long, text string")
     assert {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()} == {1: f"secret:13:{13 + len(key)}", 2: ""}
+
+
+def test_values_after_a_key_word(spark):
+    key = "1eb9c654e721b4f812088970e66a6345cee33dd6"
+    rows = [(1, "ab password: hunter2, cd"), (2, f"ab api_key={key} cd"), (3, f"ab password={key} cd"), (4, "the key: of walks on")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()} == {1: "secret:13:20", 2: "secret:11:51", 3: "secret:12:52", 4: ""}
