@@ -7,7 +7,6 @@ import pyarrow as pa
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
 CHUNK = 1 << 18
 _R = np.uint64(0x9E3779B97F4A7C15)
-_R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -35,27 +34,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(0, np.uint64), np.ones(0, np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        out = []
-        for r in (_R, _R_INVERSE):
-            p = np.full(n, r, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers = out[0], out[1]
-    return _powers[0][:n], _powers[1][:n]
+#: Keeps the first bytes of a little-endian word: by how many.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _R)
+    """64-bit hashes of data[start:end], equal for equal bytes. A span's 8-byte words are mixed together
+    with their place before they are added up, so no pattern of bytes makes sums collide."""
+    n = ends - starts
+    words = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, 0, (1,))
+    out = mixed((words[starts] & _FIRST[np.minimum(n, 8)]) + _R)
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        blocks = (n[long] - 1) // 8
+        first = blocks.cumsum() - blocks
+        place = np.arange(blocks.sum()) - np.repeat(first, blocks) + 1
+        at = np.repeat(starts[long], blocks) + 8 * place
+        word = words[at] & _FIRST[np.minimum(np.repeat(ends[long], blocks) - at, 8)]
+        out[long] += np.add.reduceat(mixed(mixed(word) + place.astype(np.uint64) * _R), first)
+    return mixed(out + n.astype(np.uint64) * _R)
 
 
 def word_spans(space: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,8 +22,9 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytes_np import CHUNK, chunks, span_hashes
+from .bytes_np import CHUNK, chunks
 from .common import read_blobs, shared_dir, stored, write_blobs
+from .pieces import PieceTable, spread
 
 MAGIC, WIDTH, PER_RANK = b"DACS", 8, 512
 #: Documents and bytes of text of one segment; a block of texts that reaches either is its last.
@@ -160,25 +161,6 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-class Grown:
-    """An array that grows at its end."""
-
-    def __init__(self, dtype: str):
-        self.room, self.n = np.zeros(1024, dtype), 0
-
-    def append(self, x: np.ndarray) -> None:
-        if self.n + len(x) > len(self.room):
-            self.room = np.concatenate([self.room, np.zeros(max(len(x), len(self.room)), self.room.dtype)])
-        self.room[self.n : self.n + len(x)] = x
-        self.n += len(x)
-
-
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each span, in a row."""
-    ends = lengths.cumsum()
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
-
-
 _CLASS = np.full(256, 4, np.uint8)  # of bytes: white space, letter, digit, mark, not read here
 _CLASS[[9, 10, 32]] = 0
 _CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 1
@@ -196,55 +178,18 @@ class PieceEncoder:
     as are those with the strings of special tokens."""
 
     def __init__(self, path: str, most: int = PIECES):
-        self.words, self.most = WordEncoder(path), most
-        self.mask = (1 << (4 * most - 1).bit_length()) - 1
-        self.forget()
-
-    def forget(self) -> None:
-        self.table = np.full(self.mask + 1, -1, np.int32)
-        self.keys, self.data, self.data_at, self.ids, self.ids_at = Grown("u8"), Grown("u1"), Grown("i8"), Grown("u4"), Grown("i8")
-        self.data_at.append(np.zeros(1, "i8"))
-        self.ids_at.append(np.zeros(1, "i8"))
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        """The piece with each key, or -1."""
-        at = (keys & np.uint64(self.mask)).astype(np.int64)
-        out = self.table[at]
-        off = np.flatnonzero((out >= 0) & (self.keys.room[out] != keys))
-        while len(off):
-            at[off] = (at[off] + 1) & self.mask
-            out[off] = self.table[at[off]]
-            off = off[(out[off] >= 0) & (self.keys.room[out[off]] != keys[off])]
-        return out
-
-    def learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-        """Distinct new keys, and the bytes of their pieces."""
-        for i in range(0, len(keys), 2000):
-            a, n = starts[i : i + 2000], lengths[i : i + 2000]
-            own = data[spread(a, n)]
-            line = np.full(len(own) + len(n), 32, np.uint8)
-            line[np.arange(len(own)) + np.repeat(np.arange(len(n)), n)] = own
-            ids = self.words.library([line.tobytes().decode()])[0]
-            cuts = np.flatnonzero(self.words.ends[ids]) + 1
-            if len(cuts) != len(n) or cuts[-1] != len(ids):
-                raise ValueError("the vocabulary doesn't mark the ends of pieces")
-            self.data_at.append(n.cumsum() + self.data.n)
-            self.ids_at.append(cuts + self.ids.n)
-            self.data.append(own)
-            self.ids.append(ids)
-        self.keys.append(keys)
-        first = self.keys.n - len(keys)
-        if 2 * self.keys.n > self.mask:
-            # one block may bring more pieces than there are places
-            self.mask = (1 << (4 * self.keys.n).bit_length()) - 1
-            self.table, first = np.full(self.mask + 1, -1, np.int32), 0
-        place = np.arange(first, self.keys.n, dtype=np.int32)
-        at = (self.keys.room[first : self.keys.n] & np.uint64(self.mask)).astype(np.int64)
-        while len(place):
-            free = self.table[at] < 0
-            self.table[at[free]] = place[free]
-            left = self.table[at] != place
-            at, place = (at[left] + 1) & self.mask, place[left]
+        self.words = WordEncoder(path)
+        self.known = PieceTable(self.taught, most)
+
+    def taught(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new pieces in a row, and how many each has."""
+        line = np.full(lengths.sum() + len(lengths), 32, np.uint8)
+        line[np.arange(lengths.sum()) + np.repeat(np.arange(len(lengths)), lengths)] = data[spread(starts, lengths)]
+        ids = self.words.library([line.tobytes().decode()])[0]
+        cuts = np.flatnonzero(self.words.ends[ids]) + 1
+        if len(cuts) != len(lengths) or cuts[-1] != len(ids):
+            raise ValueError("the vocabulary doesn't mark the ends of pieces")
+        return ids, np.diff(cuts, prepend=0)
 
     def pieces(self, data: np.ndarray, kind: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """starts and ends of the pieces of lower-cased bytes. borders: where a text begins."""
@@ -287,24 +232,12 @@ class PieceEncoder:
             kind[offsets[k] : offsets[k + 1]] = 0
         borders = offsets[:-1][offsets[:-1] < len(data)]
         starts, ends = self.pieces(low, kind, borders)
-        keys, lengths = span_hashes(low, starts, ends), ends - starts
-        if self.keys.n > self.most // 2 and self.keys.n + len(keys) > self.most:
-            self.forget()
-        place = self.places(keys)
-        missing = np.flatnonzero(place < 0)
-        if len(missing):
-            new, first = np.unique(keys[missing], return_index=True)
-            first = missing[first]
-            self.learn(new, low, starts[first], lengths[first])
-            place[missing] = self.places(keys[missing])
-        at = self.data_at.room
-        if not np.array_equal(at[place + 1] - at[place], lengths) or not np.array_equal(self.data.room[spread(at[place], lengths)], low[kind != 0]):
+        found = self.known.look_up(low, starts, ends)
+        if found is None:
             own = np.zeros(0, "<u4")
             count, others = np.zeros(n, np.int64), np.arange(n)
         else:
-            at = self.ids_at.room
-            each = at[place + 1] - at[place]
-            own = self.ids.room[spread(at[place], each)]
+            own, each = found
             before = np.concatenate([[0], each.cumsum()])
             count = np.diff(before[np.searchsorted(starts, offsets)])
         if not len(others):

@@ -76,3 +76,11 @@ def test_registers_merge_and_estimate():
     assert (nd.merge(regs[0], regs[1]) == regs[2]).all()
     got = nd.estimate(regs[:1], regs[1:2], np.array([2500.0]), np.array([2500.0]))[0]
     assert abs(got - 2000 / 3000) < 0.12
+
+
+def test_long_words_of_a_pattern_are_told_apart(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    d = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in nd.classes(d, 85).collect()} == {1: 1, 2: 2, 3: 1}
