@@ -6,29 +6,39 @@ that table, so appending bytes or re-encoding after an edit redoes only the pref
 and the tokens are read off backwards. Two tokens may follow each other iff no merge that BPE would make
 earlier crosses the border between them; that is decided by undoing merges on both sides.
 
-A text is split by a pattern first; each piece is encoded separately. Pieces recur, so a worker keeps a
-bounded table of pieces it has met.
-
-Defined cases: null and empty texts have no tokens. Repeated rows and ids are encoded each. Only doc_id
-and the text column are read, whatever else the table holds.
+A text is split by a pattern first; each piece is encoded separately. Whole blocks of texts are split and
+looked up with NumPy in a table of the pieces that the worker has met; new pieces go through the prefix
+table. What a worker remembers is bounded by bytes, and it gives the pieces back at the end of a task,
+whatever ends it.
+
+Defined cases: null and empty texts have no tokens. Very long texts are encoded whole, in parts that end
+where the pattern ends a piece. Repeated rows and ids are encoded each. Only doc_id and the text column
+are read, whatever else the table holds.
 """
 import base64
 import contextlib
 import ctypes
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers before it starts anew.
-PIECES = 600_000
-#: Bytes of a string up to which its table is kept by prefix.
-SHORT = 40
+from .bytes_np import CHUNK, chunks
+from .pieces import PieceTable, spread
+
+#: Pieces, and bytes of pieces, that a worker remembers before it starts anew.
+PIECES, PIECE_BYTES = 400_000, 1 << 23
+#: Places for pairs of tokens whose answers are kept, 8 bytes each.
+PAIRS = 1 << 20
+#: Fixed value: the pattern that splits() finds the pieces of.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,10 +51,13 @@ class Encoder:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.allowed: dict[tuple[int, int], bool] = {}
-        #: prefix -> its last token, of the short byte strings met so far. Whatever prefix is here, all
-        #: shorter ones are too, so a string that shares a beginning with an earlier one starts there.
-        self.last: dict[bytes, int] = {}
+        #: Whether two tokens may follow each other, of pairs met lately: pair * 2 + answer, at pair % PAIRS.
+        self.allowed = array("q", [-1]) * PAIRS
+        #: Finds all tokens that end at each byte (bytes as characters of the same numbers).
+        self.tokens_in = ahocorasick.Automaton()
+        for b, r in ranks.items():
+            self.tokens_in.add_word(b.decode("latin-1"), (r, len(b)))
+        self.tokens_in.make_automaton()
         #: token -> the two tokens that its last merge joined; a token that no merge makes is whole.
         self.halves: dict[int, tuple[int, int]] = {}
         #: two tokens -> the token that a merge of them makes.
@@ -54,9 +67,9 @@ class Encoder:
                 self.halves[r] = (parts[0], parts[1])
                 self.merged[parts[0], parts[1]] = r
 
-    def forget(self) -> None:
-        self.last.clear()
-        self.allowed.clear()
+        self.tokens = b"".join(self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1))
+        self.span = max(self.bytes_of, default=0) + 1
+        self.token_at = np.cumsum([0, *(len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of, default=-1) + 1))])
 
     def plain(self, text: bytes, below: int | None = None) -> list[int]:
         """BPE by its definition: merge the pair of lowest rank, again and again."""
@@ -76,9 +89,6 @@ class Encoder:
         """Whether BPE, given the bytes of both, leaves a border between them. Going back in time, the
         later of the two last merges beside the border is undone; a merge across the border that comes
         before the merges undone so far would have happened first."""
-        key = (left, right)
-        if (known := self.allowed.get(key)) is not None:
-            return known
         #: Merges across the border must rank below this to come first; on the border of equal ranks the left one is first.
         limit = float("inf")
         while True:
@@ -94,54 +104,35 @@ class Encoder:
                 limit, left = left, l[1]
             else:
                 limit, right = right + 1, r[0]
-        self.allowed[key] = ok
         return ok
 
     def last_tokens(self, text: bytes, known: list[int] | None = None, same: int = 0) -> list[int]:
         """table[i]: the last token of the encoding of text[: i + 1]. known: the table of an earlier
         text that has the first `same` bytes in common; only what lies behind is computed."""
         table = list(known[:same]) if known else []
-        ranks, allowed = self.ranks.get, self.allowed.get
-        for end in range(len(table) + 1, len(text) + 1):
-            for start in range(end - 1, max(-1, end - self.longest - 1), -1):
-                t = ranks(text[start:end])
-                if t is not None:
-                    if not start:
-                        break
-                    ok = allowed((table[start - 1], t))
-                    if self.may_follow(table[start - 1], t) if ok is None else ok:
-                        break
-            else:
-                raise ValueError("the vocabulary lacks a byte of the text")
-            table.append(t)
+        n, same = len(text), len(table)
+        table += [-1] * (n - same)
+        allowed, span = self.allowed, self.span
+        found = same - 1
+        # tokens that end behind the change may begin as far in front of it as the longest token is long
+        for end, (t, size) in self.tokens_in.iter(text.decode("latin-1"), max(0, same - self.longest + 1)):
+            if end <= found:
+                continue
+            if size <= end:
+                pair = table[end - size] * span + t
+                if (answer := allowed[pair % PAIRS]) >> 1 != pair:
+                    answer = pair * 2 + self.may_follow(table[end - size], t)
+                    allowed[pair % PAIRS] = answer
+                if not answer & 1:
+                    continue
+            if end != found + 1:
+                break
+            table[end] = t
+            found = end
+        if found != n - 1:
+            raise ValueError("the vocabulary lacks a byte of the text")
         return table
 
-    def encode_short(self, text: bytes) -> list[int]:
-        """As read_off(last_tokens(text)), with the table kept by prefix for later strings."""
-        last, ranks, allowed = self.last, self.ranks.get, self.allowed.get
-        done = len(text)
-        while done and text[:done] not in last:
-            done -= 1
-        for end in range(done + 1, len(text) + 1):
-            for start in range(end - 1, -1, -1):
-                t = ranks(text[start:end])
-                if t is not None:
-                    if not start:
-                        break
-                    before = last[text[:start]]
-                    ok = allowed((before, t))
-                    if self.may_follow(before, t) if ok is None else ok:
-                        break
-            else:
-                raise ValueError("the vocabulary lacks a byte of the text")
-            last[text[:end]] = t
-        out, end = [], len(text)
-        while end:
-            t = last[text[:end]]
-            out.append(t)
-            end -= len(self.bytes_of[t])
-        return out[::-1]
-
     def read_off(self, table: list[int]) -> list[int]:
         out, end = [], len(table)
         while end:
@@ -154,60 +145,121 @@ class Encoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        return self.encode_short(piece) if len(piece) <= SHORT else self.read_off(self.last_tokens(piece))
+        return self.read_off(self.last_tokens(piece))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-
-class TextEncoder:
-    """Texts to ids: pieces by a pattern, with a bounded table of what was met before.
-
-    spaced: the pattern never joins what stands before a lone space with the space, as is so for
-    patterns whose pieces take one space in front. Texts whose spaces all are lone are then looked up
-    word by word; the pattern splits the words that aren't known, and all other texts."""
-
-    def __init__(self, encoder: Encoder, pattern: str, pieces: int = PIECES, spaced: bool = True):
-        self.encoder, self.pattern, self.most = encoder, regex.compile(pattern), pieces
-        self.known: dict[str, bytes] = {}
-        self.run = regex.compile(r"\s[ ]|[ ]\s|[ ]$") if spaced else regex.compile("")
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, and where each id's begin (n + 1)."""
+        first = self.token_at[ids]
+        n = self.token_at[ids.astype(np.int64) + 1] - first
+        return np.frombuffer(self.tokens, np.uint8)[spread(first, n)], np.concatenate([[0], n.cumsum()])
+
+
+_KIND = np.full(256, 9, np.uint8)  # of bytes: white space, letter, digit, mark, not read here
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = 1
+_KIND[48:58] = 2
+_KIND[[*range(0, 9), *range(14, 28), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 3
+
+
+def splits(data: np.ndarray, kind: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Where a piece of SPLIT begins, of texts in a row. kind: of each byte; fresh (n + 1): where a text
+    begins, and at the end. A run of one kind is a piece, but the last of some white space in front of
+    other bytes stands alone, a space there joins what follows, and an apostrophe that is the first of its piece
+    takes s, t, re, ve, m, ll or d along."""
+    n = len(data)
+    begin = fresh.copy()
+    begin[1:n] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(begin[:n] & ~fresh[:n] & (kind != 0))
+    at = at[kind[at - 1] == 0]
+    begin[at - 1] = True
+    begin[at[data[at - 1] == 32]] = False
+    q = np.flatnonzero((data == 39) & begin[:n])
+    q = q[~fresh[q + 1]]
+    q = q[kind[q + 1] == 1]
+    x = data[q + 1]
+    two = ~fresh[np.minimum(q + 2, n)]
+    y = np.where(two, data[np.minimum(q + 2, n - 1)], 0)
+    short = (x == 115) | (x == 116) | (x == 109) | (x == 100)
+    long = ((x == 114) | (x == 118)) & (y == 101) | (x == 108) & (y == 108)
+    begin[q[short | long] + 1] = False
+    begin[np.concatenate([q[short] + 2, q[long] + 3])] = True
+    return begin[:n]
+
+
+class BlockEncoder:
+    """Texts to ids, a block at a time."""
+
+    def __init__(self, encoder: Encoder, pattern: str, pieces: int = PIECES):
+        self.encoder, self.pattern, self.simple = encoder, regex.compile(pattern), pattern == SPLIT
+        self.known = PieceTable(self.taught, pieces, PIECE_BYTES)
 
     def close(self) -> None:
         """Gives the tables' memory back: an idle worker holds none of it."""
-        self.known.clear()
-        self.encoder.forget()
+        self.known.forget()
         with contextlib.suppress(AttributeError, OSError):  # glibc only
             ctypes.CDLL(None).malloc_trim(0)
 
-    def look_up(self, pieces: list[str], miss) -> bytes:
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            found = [miss(p) if x is None else x for x, p in zip(found, pieces)]
-        return b"".join(found)
-
-    def piece(self, piece: str) -> bytes:
-        out = np.array(self.encoder.encode_piece(piece.encode("utf-8")), dtype="<u4").tobytes()
-        if len(piece) < 64:
-            self.known[piece] = out
-        return out
-
-    def word(self, word: str) -> bytes:
-        out = self.look_up(self.pattern.findall(word), self.piece)
-        if len(word) < 32 and "\n" not in word:
-            self.known[word] = out
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
-        if max(len(self.encoder.last), len(self.encoder.allowed)) > self.most:
-            self.encoder.forget()
-        if self.run.search(text):
-            out = self.look_up(self.pattern.findall(text), self.piece)
+    def taught(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new pieces in a row, and how many each has."""
+        ids = [self.encoder.encode_piece(data[a : a + n].tobytes()) for a, n in zip(starts.tolist(), lengths.tolist())]
+        return np.array([t for x in ids for t in x], "<u4"), np.array([len(x) for x in ids])
+
+    def by_pattern(self, text: bytes) -> np.ndarray:
+        """Where the pattern's matches begin in a text."""
+        n = np.array([len(p.encode()) for p in self.pattern.findall(text.decode())])
+        return n.cumsum() - n
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts in a row, and how many each has."""
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(n, np.int64)
+        fresh = np.zeros(len(data) + 1, bool)
+        fresh[offsets] = True
+        if self.simple:
+            kind = _KIND[data]
+            second = np.flatnonzero(data[:-1] == 0xC3) + 1
+            odd = np.concatenate([np.flatnonzero(kind == 9), second[(data[second] == 0x97) | (data[second] == 0xB7)]])
+            begin = splits(data, kind, fresh)
+            others = np.unique(np.searchsorted(offsets, odd, "right") - 1)
         else:
-            first, *rest = text.split(" ")
-            out = self.look_up([first, *(" " + w for w in rest)], self.word)
-        return np.frombuffer(out, dtype="<u4")
+            begin, others = fresh[:-1].copy(), np.flatnonzero(np.diff(offsets))
+        for k in others:
+            a, e = offsets[k], offsets[k + 1]
+            begin[a:e] = False
+            begin[a + self.by_pattern(data[a:e].tobytes())] = True
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], len(data))
+        found = self.known.look_up(data, starts, ends)
+        if found is None:  # two pieces with one hash: each by itself
+            found = self.taught(data, starts, ends - starts)
+        ids, each = found
+        before = np.concatenate([[0], each.cumsum()])
+        return ids, np.diff(before[np.searchsorted(starts, offsets)])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """block(), but a very long text goes in parts, which begin with white space behind other bytes."""
+        if not self.simple or len(offsets) > 2 or len(data) <= 4 * CHUNK:
+            return self.block(data, offsets)
+        space = _KIND[data] == 0
+        cuts = np.flatnonzero(space[1:] & ~space[:-1] & (data[:-1] < 128)) + 1
+        last = cuts[-1] if len(cuts) else 0
+        cuts = np.unique(np.concatenate([[0], cuts[np.searchsorted(cuts, np.arange(CHUNK, last, CHUNK))], [len(data)]]).astype(np.int64))
+        ids = np.concatenate([self.block(data[a:e], np.array([0, e - a]))[0] for a, e in zip(cuts, cuts[1:])])
+        return ids, np.array([len(ids)])
+
+
+def encoded_blocks(batches: Iterator[pa.RecordBatch], enc: BlockEncoder) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """doc_id, ids of all texts in a row, how many each has, of batches of (doc_id, text)."""
+    try:
+        for b in batches:
+            for a, e, data, offsets in chunks(b.column(1)):
+                yield b.column(0).slice(a, e - a), *enc.encode(data, offsets)
+    finally:
+        enc.close()
 
 
 @cache
@@ -216,18 +268,13 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(read_ranks(path))
 
 
-SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = TextEncoder(encoder_of(path), pattern)
-        for b in batches:
-            for part in blocks(b):
-                ids = [enc.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for doc_id, ids, count in encoded_blocks(batches, BlockEncoder(encoder_of(path), pattern)):
+            each = [x.tobytes() for x in np.split(ids, count.cumsum()[:-1])]
+            yield pa.record_batch([doc_id, pa.array(count, pa.int64()), pa.array(each, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -244,27 +291,17 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def blocks(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Slices of a few rows, so that few texts are Python objects at a time."""
-    for i in range(0, b.num_rows, rows):
-        yield b.slice(i, rows)
-
-
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: texts are encoded, and the ids decoded again, in
     one pass; neither ids nor bytes leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = TextEncoder(encoder_of(path), pattern)
-        for b in batches:
-            for part in blocks(b):
-                n, ids_sha, decoded_sha = [], [], []
-                for t in part.column(1).to_pylist():
-                    ids = enc.encode(t or "")
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(enc.encoder.decode(ids.tolist())).hexdigest())
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        enc.close()
+        enc = BlockEncoder(encoder_of(path), pattern)
+        for doc_id, ids, count in encoded_blocks(batches, enc):
+            decoded, at = enc.encoder.decoded(ids)
+            ends = count.cumsum()
+            ids_sha = [hashlib.sha256(ids[a:e]).hexdigest() for a, e in zip(ends - count, ends)]
+            decoded_sha = [hashlib.sha256(decoded[at[a] : at[e]]).hexdigest() for a, e in zip(ends - count, ends)]
+            yield pa.record_batch([doc_id, pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,12 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillgraph.llm import arc, bpe, chat_format, language_id, quality_knn, quality_rules, token_output
+from quillgraph.llm.bytes_np import span_hashes
 from quillgraph.llm.queries import BYTE_RANKS, WORD_MODEL
 
 TEXTS = [None, "", " ", "a  b\tc", "Ünï côdé it's  the'll\n\n x", "x" * 3000, "<|endoftext|> <|ENDOFTEXT|> Ab, aB.!!", "word " * 40, "İ Σας ́e ﬁ"]
@@ -34,6 +36,60 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert bpe.round_trip(d.limit(0), BYTE_RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_blocks_equal_the_library(monkeypatch):
+    import random
+
+    ranks = bpe.read_ranks(BYTE_RANKS)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert bpe.SPLIT == public_tokenizers.PATTERN
+    encoder, draw = bpe.encoder_of(BYTE_RANKS), random.Random(5)
+    monkeypatch.setattr(bpe, "CHUNK", 1 << 10)
+    letters = "aAsStTmMdDrReEvVlL'''''  \n\t  019.,!?<|>#ÀéÖßÿя×÷µİŁ½²\r\x0b\x1c\x00\x85\u2003zŉ"
+    texts = ["", "'s", "'", "", " ", "  ", "a", "'ll", "'l", "'re", "it's", "'s's", " 's", "a 've"]
+    texts += ["".join(draw.choices(letters[: draw.choice([32, 44, len(letters)])], k=draw.randint(0, 40))) for _ in range(6000)]
+    enc = bpe.BlockEncoder(encoder, public_tokenizers.PATTERN, 500)  # the table starts anew now and then
+    other = bpe.BlockEncoder(encoder, r"\s?\S+|\s+")
+    for some in (texts, [" ".join(texts)], ["".join(texts)[:8000]]):
+        data = [t.encode() for t in some]
+        ids, count = enc.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert [x.tolist() for x in np.split(ids, count.cumsum()[:-1])] == [lib.encode_ordinary(t) for t in some]
+        assert encoder.decoded(ids)[0].tobytes() == b"".join(data)
+        ids, count = other.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert encoder.decode(ids.tolist()) == b"".join(data)
+    enc.close()
+    assert enc.known.keys.n == 0
+
+
+def test_bpe_remembers_a_bounded_number_of_bytes():
+    enc = bpe.BlockEncoder(bpe.encoder_of(BYTE_RANKS), public_tokenizers.PATTERN, 20_000)
+    most = 0
+    for k in range(12):  # as many tasks, each with pieces of its own
+        text = " ".join(f"x{k}q{i}z" for i in range(20_000)).encode()
+        for a in range(0, len(text), 50_000):
+            part = text[a : a + 50_000]
+            enc.encode(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+        t = enc.known
+        most = max(most, sum(x.room.nbytes for x in (t.keys, t.data, t.data_at, t.ids, t.ids_at)) + t.table.nbytes)
+    assert most < 8_000_000 and len(enc.encoder.allowed) == bpe.PAIRS
+    batches = iter([pa.record_batch([pa.array([1]), pa.array(["ab cd"])], ["doc_id", "text"])] * 3)
+    rows = bpe.encoded_blocks(batches, enc)
+    next(rows)
+    rows.close()  # as when a task is cut off
+    assert enc.known.keys.n == 0
+
+
+def test_hashes_of_spans_with_a_pattern():
+    # these words collide in sums of bytes times powers, whatever the multiplier
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    both = np.frombuffer((word + word.translate(str.maketrans("ab", "ba"))).encode(), np.uint8)
+    assert len(set(span_hashes(both, np.array([0, len(word)]), np.array([len(word), 2 * len(word)])).tolist())) == 2
+    some = np.frombuffer(b"abcdefgh abcdefgh\x00 abcdefghi abcdefgh", np.uint8)
+    h = span_hashes(some, np.array([0, 9, 19, 29]), np.array([8, 18, 28, 37])).tolist()
+    assert h[0] == h[3] and len(set(h)) == 3
+
+
 def test_token_files(spark):
     d = docs(spark).repartition(3)
     lib = Tokenizer.from_file(WORD_MODEL)
