@@ -35,6 +35,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(items: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each item, the values of all items before it, joined (by an associative function); zero stands
+    before the first. Arrays are copied when they grow, so the items go in about root-of-n chunks of as
+    many: n^1.5 steps, not n^2."""
+    kind = "array<int>"
+
+    def before(chunk: Column, first: Column) -> Column:
+        # [value before each item ..., value of all]
+        start = F.array(first).cast(kind)
+        return F.aggregate(chunk, start, lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), value(x)))))
+
+    def in_chunks(all_items: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(all_items))).cast("int"), F.lit(1))
+        some = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_items) / size).cast("int") - 1, F.lit(0))), lambda k: F.slice(all_items, k * size + 1, size))
+        inner = F.transform(some, lambda chunk: before(chunk, zero))
+
+        def shifted(parts: Column) -> Column:
+            starts = F.aggregate(parts, F.array(zero).cast(kind), lambda acc, p: F.concat(acc, F.array(join(F.element_at(acc, -1), F.element_at(p, -1)))))
+            moved = lambda starts: F.transform(parts, lambda p, i: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: join(F.get(starts, i), x)))
+            return F.flatten(let(starts, moved))
+
+        return let(inner, shifted)
+
+    return let(items, lambda x: F.when(F.size(x) == 0, F.array().cast(kind)).otherwise(in_chunks(x)))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs hasn't."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, mod n; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

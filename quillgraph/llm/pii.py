@@ -3,16 +3,19 @@ r"""Personal data: high-recall candidates, boosted trees, calibrated thresholds.
 Base spans (email, ip, card, phone) are the format matches that pass their checks; they always stay.
 Beside them, generators propose spans of further kinds, which may overlap: values after a key word, long
 tokens, numbers in the shapes of identity numbers, accounts and local phone numbers. Boosted trees score
-each candidate by format (length, shares of digits, capitals, vowels, distinct characters ...) and
-context (key words and quotes in front); the probability is calibrated on examples that the trees weren't
-fitted on, and each kind has the threshold that kept PRECISION of these. Of overlapping candidates the
-likeliest stays, and none that overlaps a base span.
+each candidate by format (length, shares of digits, capitals, vowels, distinct characters and common
+letter pairs, known prefixes, check sums ...) and context (key words and quotes in front); the
+probability is calibrated on examples that the trees weren't fitted on, and each kind has the threshold
+that kept PRECISION of these. Of overlapping candidates the likeliest stays; one that overlaps a base span
+stays only if it holds that span and more.
 
 The trees learn from EXAMPLES short texts that are made here from a seed, as the tables have no labels of
 this sort; their features are computed by the same column expressions as the documents'.
 
-Defined cases: null text is empty and has no spans. Equal spans of several kinds are all reported.
-Repeated rows are searched each; other columns pass through.
+Defined cases: null text is empty and has no spans. Equal spans of several kinds are all reported. Of
+candidates that overlap with equal probability the one that starts later stays, then that of the later kind.
+Very long texts are searched whole, in about the power 1.5 of their matches at worst. Repeated rows are
+searched each; other columns pass through, whatever their names.
 """
 import random
 import string
@@ -23,11 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import let
+from .common import fresh, let, running
 
 #: The order of kinds where spans start alike; the first four are the base.
 KINDS = ["email", "ip", "card", "phone", "secret", "id", "account", "local_phone"]
-EXAMPLES, PRECISION = 1200, 0.98
+EXAMPLES, PRECISION = 6000, 0.98
 CONTEXT = 24
 
 #: Base formats. Runs are possessive and begin where a run begins (or the last match ended), which finds
@@ -38,12 +41,20 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-WORD = r"(?:token|secret|password|passwd|passphrase|credential|bearer|api[_ -]?key|access[_ -]?key|private[_ -]?key|key|pwd)"
+WORD = r"(?:token|secret|password|passwd|passphrase|passcode|credentials?|bearer|api[_ -]?key|access[_ -]?key|private[_ -]?key|key|pwd)"
 #: Key words whose value is a secret whatever it looks like.
 STRONG = r"(?:password|passwd|passphrase|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key)"
 #: A key word, = or :, and what stands in front of the value; a value is quoted, or ends at white space.
-KEYED = rf"(?i:{WORD})[\"']?[\x20\t]{{0,2}}(?::=|=>|[=:])[\x20\t]{{0,2}}"
+KEYED = rf"(?i:{WORD})[\"']?(?i:[\x20\t]+(?:is|was))?[\x20\t]{{0,2}}(?::=|=>|[=:])[\x20\t]{{0,2}}"
 VALUE = r"(?:\"[^\"\n]++(?=\")|'[^'\n]++(?=')|[\"']?[^\s\"'](?:[^\s\"',;.)\]}>]|[,;.)\]}>](?=[^\s\"']))*+)"
+#: Prefixes that services give their keys.
+PREFIX = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk-|sk_|pk_|rk_|npm_|hf_|eyJ)"
+#: Words in front of numbers by which people or accounts are reached.
+CALLED = r"(?:phone|tel|telephone|call|mobile|cell|fax|contact|reach|ring|dial|text|whatsapp|number|nr)"
+PERSON = r"(?:ssn|social|security|taxpayer|tin|identity|id|insured|national)"
+MONEY = r"(?:iban|account|acct|bank|transfer|payee|konto)"
+#: Letter pairs that words are made of.
+PAIRS = "th he in er an re on at en nd es or te of ed is it al ar st ou de le se ve co me ra ri ro li io ch ng nt ti la ne el qu un ei ie ge be us ma ic as to ha hi na ur om ll si em ec ce".split()
 GENERATORS = {
     "secret": r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z0-9+/_=.~-]{12,}+",
     "id": r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])",
@@ -52,23 +63,23 @@ GENERATORS = {
 }
 
 
+PLACED = "array<struct<start:int,end:int,s:string,before:string>>"
+
+
 def located(text: Column, pattern: str) -> Column:
     """[(start, end, s, before)] of the leftmost matches that don't overlap; positions in code points,
     before the text in front. Splitting by the pattern gives what lies between the matches, so that
     lengths add up to positions."""
 
-    def placed(parts: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m, i: F.struct(F.length(F.get(parts, i)).alias("gap"), F.length(m).alias("n"), m.alias("s"), F.substring(F.get(parts, i), -CONTEXT, CONTEXT).alias("before")))
-        empty = F.array().cast("array<struct<start:int,end:int,s:string,before:string>>")
+    def gaps(parts: Column) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m, i: F.struct(F.length(F.get(parts, i)).alias("gap"), F.length(m).alias("n"), m.alias("s"), F.substring(F.get(parts, i), -CONTEXT, CONTEXT).alias("before")))
 
-        def step(acc: Column, x: Column) -> Column:
-            at = acc["at"] + x["gap"]
-            one = F.struct(at.alias("start"), (at + x["n"]).alias("end"), x["s"].alias("s"), x["before"].alias("before"))
-            return F.struct((at + x["n"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(found: Column) -> Column:
+        at = running(found, lambda x: x["gap"] + x["n"], lambda a, b: a + b, F.lit(0))
+        one = lambda x, k: F.struct((k + x["gap"]).alias("start"), (k + x["gap"] + x["n"]).alias("end"), x["s"].alias("s"), x["before"].alias("before"))
+        return F.zip_with(found, at, one)
 
-        return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-
-    return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), placed)).otherwise(F.array().cast("array<struct<start:int,end:int,s:string,before:string>>"))
+    return F.when(text.rlike(pattern), let(let(F.split(text, pattern, -1), gaps), placed)).otherwise(F.array().cast(PLACED))
 
 
 def keyed(text: Column) -> Column:
@@ -101,17 +112,33 @@ def base_spans(text: Column) -> dict[str, Column]:
         return let(_digits(x["s"]), lambda d: F.when(F.length(d).between(12, 19), luhn(d)).otherwise(F.lit(False)))
 
     return {
-        "email": F.when(F.contains(text, F.lit("@")), located(text, EMAIL)).otherwise(F.array().cast("array<struct<start:int,end:int,s:string,before:string>>")),
+        "email": F.when(F.contains(text, F.lit("@")), located(text, EMAIL)).otherwise(F.array().cast(PLACED)),
         "ip": F.filter(located(text, IP), lambda x: x["s"].rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")),
         "card": F.filter(located(text, CARD), card),
         "phone": F.filter(located(text, PHONE), lambda x: F.length(_digits(x["s"])).between(9, 15)),
     }
 
 
-#: Features of a candidate x, in order.
+def iban(s: Column) -> Column:
+    """Whether the check digits of an account number are right: the first four characters go to the end,
+    letters stand for 10 to 35, and the number leaves 1 when divided by 97."""
+    bare = F.replace(s, F.lit(" "), F.lit(""))
+
+    def left(total: Column, c: Column) -> Column:
+        k = F.ascii(c)
+        return F.when(k >= 65, total * 100 + k - 55).otherwise(total * 10 + k - 48) % 97
+
+    return F.aggregate(F.split(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4)), ""), F.lit(0), left) == 1
+
+
 def features(x: Column, kind: str) -> list[Column]:
+    """Of a candidate x, in order."""
     s, n = x["s"], F.length(x["s"]).cast("double")
     share = lambda keep: F.length(F.regexp_replace(s, f"[^{keep}]", "")) / n
+    less = lambda pattern: 1 - F.length(F.regexp_replace(s, pattern, "")) / n
+    told = lambda words: x["before"].rlike(rf"(?i)(?<![a-z]){words}[^a-z]{{0,6}}(?:(?:is|was|at|on|no|number|to|me|my|us)[^a-z]{{1,3}}){{0,3}}$").cast("double")
+    never = F.lit(0.0)
+    secret, number = kind == "secret", kind != "secret"
     return [
         n,
         share("0-9"),
@@ -119,10 +146,20 @@ def features(x: Column, kind: str) -> list[Column]:
         share("0-9a-fA-F"),
         share("aeiouAEIOU"),
         F.size(F.array_distinct(F.split(s, ""))) / n,
-        F.when(x["before"].rlike(rf"(?i){STRONG}[\"' ]*(?:[=:]|=>|:=)[\"' ]*$"), 2.0).otherwise(x["before"].rlike(rf"(?i){WORD}[\"' ]*(?:[=:]|is|was)?[\"' ]*$").cast("double")),
+        F.when(x["before"].rlike(rf"(?i){STRONG}[\"' ]*(?:is|was)?[\"' ]*(?:[=:]|=>|:=)[\"' ]*$"), 2.0).otherwise(x["before"].rlike(rf"(?i){WORD}[\"' ]*(?:is|was)?[=: ]*[\"' ]*$").cast("double")),
         x["before"].rlike(r"[=:][\"' ]*$").cast("double"),
-        x["before"].rlike(r"(?i)(?:phone|tel|call|mobile|fax|iban|account|ssn|social|id|no)[^a-z]{0,6}$").cast("double"),
+        told(CALLED) if number else never,
+        told(PERSON) if number else never,
+        told(MONEY) if number else never,
         F.length(F.regexp_replace(s, r"[^0-9][0-9]|[0-9][^0-9]", "")) / n,
+        less("[a-z](?=[A-Z])"),
+        less(f"(?i){'|'.join(PAIRS)}"),
+        less(r"[/._~-]") if secret else never,
+        less("=") if secret else never,
+        s.rlike(PREFIX).cast("double") if secret else never,
+        s.rlike(r"(?i)^(?:https?:|www\.|[a-z]:|/)|\.(?:com|org|net|html?|py|js|java|txt|pdf|png|jpe?g|csv|json|xml|md|zip|gz)(?![a-z])").cast("double") if secret else never,
+        F.when(s.startswith("("), 1.0).otherwise(0.0) if kind == "local_phone" else never,
+        iban(s).cast("double") if kind == "account" else never,
         F.lit(float(KINDS.index(kind))),
     ]
 
@@ -141,6 +178,14 @@ def candidates(text: Column) -> Column:
     return F.concat(*out, F.transform(keyed(text), _candidate("secret")))
 
 
+def iban_of(country: str, rest: str) -> str:
+    """country, the check digits, rest."""
+    n = 0
+    for c in rest + country + "00":
+        n = int(f"{n}{int(c, 36)}") % 97
+    return f"{country}{98 - n:02d}{rest}"
+
+
 def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, int, str, int]]:
     """text, start, end, kind, label of made-up candidates."""
     r = random.Random(seed)
@@ -148,32 +193,57 @@ def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, int, str
     word = lambda lo=1, hi=4: "".join(r.choice(syllables) for _ in range(r.randint(lo, hi)))
     digits = lambda k: "".join(r.choice(string.digits) for _ in range(k))
     any_of = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    mixed, upper, hexes = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"
+    spaced = lambda s: " ".join(s[i : i + 4] for i in range(0, len(s), 4))
+    keys = ['token = "', "secret: ", "api_key=", 'password = "', "key: ", "bearer ", "API_KEY=", "access_key: ", "SECRET_KEY=", '"token": "', "token=", "passcode: ", "credential: "]
+    known = ["AKIA", "ASIA", "ghp_", "sk_", "sk-", "xoxb-", "AIza", "glpat-", "npm_", "hf_", "pk_"]
     out = []
     for _ in range(n):
-        kind, label = r.choice(list(GENERATORS)), r.randint(0, 1)
+        kind, label = r.choice(["secret", "secret", *GENERATORS]), r.randint(0, 1)
         lead = " ".join(word() for _ in range(r.randint(2, 6))) + " "
         if kind == "secret" and label:
-            s = r.choice([lambda: any_of("0123456789abcdef", r.choice([32, 40, 64])), lambda: any_of(string.ascii_letters + string.digits, r.randint(16, 48)), lambda: "sk_" + any_of(string.ascii_letters + string.digits, 24), lambda: any_of(string.ascii_letters, r.randint(16, 40))])()
-            lead += r.choice(['token = "', "secret: ", "api_key=", 'password = "', "key: ", "bearer "]) if r.random() < 0.85 else ""
-            if r.random() < 0.4:
-                s = r.choice([lambda: any_of(string.ascii_letters + string.digits, r.randint(6, 11)), lambda: word(2, 3) + digits(r.randint(1, 3)), lambda: word(3, 6)])()
-                lead = lead.split(" ")[0] + r.choice([" password: ", " password=", ' password = "', " passwd: ", " pwd=", " api_key=", " passphrase: "])
+            form = r.randrange(10)
+            if form < 4:  # random characters after a key word
+                s = r.choice([lambda: any_of(hexes, r.choice([16, 24, 32, 40, 64])), lambda: any_of(mixed, r.randint(12, 48)), lambda: any_of(string.ascii_letters, r.randint(14, 40)), lambda: any_of(upper, r.randint(12, 24))])()
+                lead += r.choice(keys)
+            elif form < 6:  # a known prefix, anywhere
+                s = r.choice(known)
+                s += any_of(upper, 16) if s.startswith("A") and s != "AIza" else any_of(mixed, r.randint(20, 40))
+                lead += r.choice(["", "", "", *keys])
+            elif form < 8:  # random characters of all sorts that stand alone
+                s = r.choice([lambda: any_of(mixed, r.randint(20, 48)), lambda: any_of(mixed + "+/", r.randint(28, 60)) + r.choice(["", "=", "=="])])()
+            else:  # what people choose
+                s = r.choice([lambda: any_of(mixed, r.randint(6, 11)), lambda: word(2, 3) + digits(r.randint(1, 4)), lambda: word(3, 6), lambda: word(1, 3).title() + digits(2) + "-" + word(1, 2) + "-" + any_of(mixed, 3), lambda: any_of(string.ascii_letters + string.digits + "!#%&*", r.randint(8, 16)) + "x"])()
+                lead += r.choice(["password: ", "password=", 'password = "', "passwd: ", "pwd=", "api_key=", "passphrase: ", "passphrase = '", "Password: ", "PASSWORD=", "password is: "])
         elif kind == "secret":
-            s = r.choice([lambda: word(6, 12), lambda: word(3, 6) + "-" + word(3, 5), lambda: word(4, 8) + ".", lambda: digits(r.randint(12, 20)), lambda: word(3, 6) + "_" + digits(2), lambda: "=" * r.randint(12, 30), lambda: f"{word(3, 6)}/{word(3, 6)}/{digits(4)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: ".".join(digits(r.randint(1, 3)) for _ in range(4))])()
-            lead += r.choice(["", "", "", "key: "])
+            s = r.choice([
+                lambda: word(6, 12), lambda: word(6, 12).title(), lambda: word(6, 9).upper(), lambda: word(3, 6) + "-" + word(3, 5), lambda: word(4, 8) + ".", lambda: digits(r.randint(12, 20)), lambda: word(3, 6) + "_" + digits(2), lambda: word(2, 3).title() + word(2, 3).title() + word(2, 3).title(),
+                lambda: r.choice("=-_.~") * r.randint(12, 30), lambda: f"{word(3, 6)}/{word(3, 6)}/{digits(4)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}T{digits(2)}", lambda: ".".join(digits(r.randint(1, 3)) for _ in range(4)), lambda: any_of(hexes, r.choice([32, 40, 64])), lambda: "-".join(any_of(hexes, k) for k in (8, 4, 4, 4, 12)),
+                lambda: f"{word(2, 4)}_{word(2, 3)}_{digits(3)}.{r.choice(['txt', 'py', 'json', 'csv'])}", lambda: f"www.{word(2, 4)}.org/{word(2, 3)}", lambda: f"//{word(2, 3)}.com/{word(2, 3)}-{word(2, 3)}-{digits(r.randint(2, 5))}.html", lambda: "-".join(word(2, 3) for _ in range(r.randint(3, 6))), lambda: f"/{word(2, 3)}/{word(2, 3)}/{word(2, 3)}", lambda: f"{word(2, 3).upper()}_{word(2, 3).upper()}_{word(1, 2).upper()}",
+            ])()
+            lead += r.choice(["", "", "", "commit ", "see ", "file ", "sha1 ", "id: ", "key: " if not set(s) <= set(hexes) else ""])
             if r.random() < 0.3:
-                s = word(1, 3)
-                lead += r.choice(["key: ", "token: ", "secret: ", "key="])
+                s, lead = word(1, 3), lead.rsplit("key", 1)[0] + r.choice(["key: ", "token: ", "secret: ", "key=", "token = "])
         elif kind == "id":
-            s = f"{digits(3)}-{digits(2)}-{digits(4)}"
-            lead += r.choice(["ssn ", "social security no. ", "ID: "]) if label else r.choice(["", "", "part ", "see "])
+            s = f"{digits(3)}{r.choice('--- ')}{digits(2)}-{digits(4)}" if r.random() < 0.9 else f"{digits(3)} {digits(2)} {digits(4)}"
+            lead += r.choice(["ssn ", "SSN: ", "social security no. ", "social security number is ", "ID: ", "taxpayer id ", "identity number ", "national id: "]) if label else r.choice(["", "", "", "part ", "see ", "lot ", "order ", "item no. ", "room "])
         elif kind == "account":
-            s = any_of(string.ascii_uppercase, 2) + digits(18 if label else 2) + ("" if label else any_of(string.ascii_uppercase, 14))
-            lead += r.choice(["IBAN ", "account: ", ""]) if label else ""
+            rest = digits(r.choice([14, 16, 18, 20])) if r.random() < 0.7 else any_of(string.ascii_uppercase, 4) + digits(r.choice([10, 14]))
+            s = iban_of(any_of(string.ascii_uppercase, 2), rest)
+            if not label:
+                s = r.choice([lambda: s[:2] + f"{(int(s[2:4]) + r.randint(1, 90)) % 97 + 1:02d}" + s[4:], lambda: s[:4] + any_of(string.ascii_uppercase, r.randint(11, 18))])()
+                if s == iban_of(s[:2], s[4:]):
+                    continue
+            s = spaced(s) if r.random() < 0.5 else s
+            lead += r.choice(["IBAN ", "IBAN: ", "account: ", "account no. ", "pay to ", "", "", ""]) if label else r.choice(["", "", "", "code ", "serial ", "part "])
         else:
-            s = f"({digits(3)}) {digits(3)}-{digits(4)}" if r.random() < 0.5 else f"{digits(3)}-{digits(3)}-{digits(4)}"
-            lead += r.choice(["call ", "phone: ", "tel. ", "mobile "]) if label else r.choice(["", "", "lot ", "page "])
-        tail = r.choice(['"', ""]) if lead.endswith('"') else ""
+            s = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}".replace(".", " "), f"{digits(3)}.{digits(3)}.{digits(4)}"])
+            if label:
+                lead += r.choice(["call ", "phone: ", "tel. ", "mobile ", "phone number is ", "call me at ", "fax ", "contact: ", "cell: ", "reach us at ", "dial "] + ["", ""] * s.startswith("("))
+            else:
+                s = s.replace("(", "").replace(") ", "-")
+                lead += r.choice(["", "", "", "lot ", "page ", "part ", "order ", "serial ", "invoice ", "see ", "version "])
+        tail = r.choice(['"', "", "'"]) if lead.endswith(('"', "'")) else ""
         out.append((f"{lead}{s}{tail} " + word(), len(lead), len(lead) + len(s), kind, label))
     return out
 
@@ -182,27 +252,34 @@ def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, int, str
 def _fitted(rows: tuple) -> tuple[boosting.Model, dict[str, float]]:
     x = np.array([r[0] for r in rows], float)
     y = np.array([r[1] for r in rows], float)
-    fit_on = np.arange(len(y)) % 3 != 0
-    m = boosting.calibrated(boosting.fit(x[fit_on], y[fit_on]), x[~fit_on], y[~fit_on])
-    held = ~fit_on
-    return m, {k: boosting.threshold(m, x[held & (x[:, -1] == KINDS.index(k))], y[held & (x[:, -1] == KINDS.index(k))], PRECISION) for k in GENERATORS}
+    held = np.arange(len(y)) % 3 == 0
+    m = boosting.calibrated(boosting.fit(x[~held], y[~held], rounds=80), x[held], y[held])
+    of = lambda k: held & (x[:, -1] == KINDS.index(k))
+    return m, {k: boosting.threshold(m, x[of(k)], y[of(k)], PRECISION) for k in GENERATORS}
+
+
+_known: list[tuple[boosting.Model, dict[str, float]]] = []
 
 
 def learned(spark: SparkSession) -> tuple[boosting.Model, dict[str, float]]:
-    """The trees and the threshold of each kind."""
+    """The trees and the threshold of each kind; learned once in a driver's life."""
+    if _known:
+        return _known[0]
     made = examples()
-    lit = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("text")) for i, (t, *_) in enumerate(made)))
-    found = spark.range(1).select(F.explode(lit).alias("x")).select("x.*").select("i", F.explode(candidates(F.col("text"))).alias("c")).select("i", "c.*").collect()
+    texts = F.split(F.lit("\n".join(t for t, *_ in made)), "\n")
+    found = spark.range(1).select(F.posexplode(texts).alias("i", "text")).select("i", F.explode(candidates(F.col("text"))).alias("c")).select("i", "c.*").collect()
     rows, proposed = [], set()
     for r in sorted(found):
         _, start, end, kind, label = made[r["i"]]
         own = r["kind"] == KINDS.index(kind) and r["start"] == start and abs(r["end"] - end) <= 1
-        rows.append((tuple(r["f"]), int(own and label)))
+        if own or not label or r["end"] <= start or r["start"] >= end:  # what overlaps a labelled span is neither
+            rows.append((tuple(r["f"]), int(own and label)))
         proposed |= {r["i"]} if own else set()
     missed = [x for i, x in enumerate(made) if x[4] and i not in proposed]
     if missed:
         raise ValueError(f"no generator proposes {len(missed)} examples at their start, such as {missed[0]}")
-    return _fitted(tuple(rows))
+    _known.append(_fitted(tuple(rows)))
+    return _known[0]
 
 
 def _span(x: Column, kind: Column) -> Column:
@@ -213,28 +290,70 @@ def _of_kind(kind: str):
     return lambda x: _span(x, F.lit(KINDS.index(kind)))
 
 
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def clusters(items: Column, span) -> Column:
+    """Items in ascending order of their spans' starts as arrays of such that overlap in a chain."""
+
+    def cut(x: Column) -> Column:
+        reach = running(x, lambda c: span(c)["end"], F.greatest, F.lit(-1))
+        first = lambda reach: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: span(F.get(x, i))["start"] >= F.get(reach, i))
+        return let(let(reach, first), lambda at: F.transform(at, lambda a, i: F.slice(x, a + 1, F.coalesce(F.get(at, i + 1), F.size(x)) - a)))
+
+    return let(items, lambda x: F.when(F.size(x) > 0, cut(x)).otherwise(F.array()))
+
+
+def selected(items: Column) -> Column:
+    """Of (p, span), ascending by span: the spans that stay. Those of the base have a p above 1 and all
+    stay; of others that overlap, the likeliest does, unless it meets a base span that it doesn't hold whole
+    and more."""
+
+    def over(kept: Column, span: Column) -> Column:
+        a, b = kept["span"], span
+        holds = (kept["p"] > 1) & (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (a["end"] - a["start"] < b["end"] - b["start"])
+        return (a["start"] < b["end"]) & (b["start"] < a["end"]) & ~holds
+
+    def best(some: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            stays = (c["p"] > 1) | ~F.exists(acc, lambda b: over(b, c["span"]))
+            return F.when(stays, F.concat(acc, F.array(c))).otherwise(acc)
+
+        # two or three as a rule: only what overlaps in a chain
+        kept = F.when(F.size(some) == 1, some).otherwise(F.aggregate(F.sort_array(some, asc=False), F.slice(some, F.lit(1), F.lit(0)), step))
+        return F.transform(kept, lambda c: c["span"])
+
+    return F.sort_array(F.flatten(F.transform(clusters(items, lambda c: c["span"]), best)))
+
+
 def detected(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone (long) and base, spans: arrays of (start, kind, end),
-    ascending; kind is an index of KINDS, spans has the base spans and the selected candidates."""
+    ascending; kind is an index of KINDS, spans has the base spans and the selected candidates. These
+    columns replace others of their names."""
+    out, names = _searched(docs, text)
+    added = {f"n_{k}": F.size(names[k]).cast("long") for k in KINDS[:4]} | {"base": F.col(names["base"]), "spans": F.col(names["spans"])}
+    return out.withColumns(added).drop(*names.values())
+
+
+def _searched(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns for the spans of each base kind, all base spans and all spans, and their names,
+    which docs hasn't."""
     model, least = learned(docs.sparkSession)
-    t = F.col("__text")
+    names = {k: fresh(docs, f"__{k}") for k in [*KINDS[:4], "base", "spans", "text", "items"]}
+    t = F.col(names["text"])
     # one projection a kind: each is computed once, and no expression grows beyond what is compiled
-    out = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    out = docs.withColumn(names["text"], F.coalesce(F.col(text), F.lit("")))
     for kind, found in base_spans(t).items():
-        out = out.withColumn(f"__{kind}", F.transform(found, _of_kind(kind)))
-        out = out.withColumn(f"n_{kind}", F.size(f"__{kind}").cast("long"))
-    out = out.withColumn("base", F.sort_array(F.concat(*(F.col(f"__{k}") for k in KINDS[:4]))))
-    scored = F.transform(candidates(t), lambda c: F.struct(model.column(lambda i: F.get(c["f"], F.lit(i))).alias("p"), _span(c, c["kind"]).alias("span")))
+        out = out.withColumn(names[kind], F.transform(found, _of_kind(kind)))
+    out = out.withColumn(names["base"], F.sort_array(F.concat(*(F.col(names[k]) for k in KINDS[:4]))))
+    item = lambda p, span: F.struct(span["start"].alias("at"), p.alias("p"), span.alias("span"))
+    scored = F.transform(candidates(t), lambda c: item(model.column(lambda i: F.get(c["f"], F.lit(i))), _span(c, c["kind"])))
     limit = F.array(*(F.lit(least.get(k, 1.1)) for k in KINDS))
-    chosen = F.filter(scored, lambda c: c["p"] >= F.get(limit, c["span"]["kind"]))
-    out = out.withColumn("__chosen", F.sort_array(chosen, asc=False))
-
-    over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter("__chosen", lambda c: ~F.exists("base", lambda b: over(b, c["span"])))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    best = F.aggregate(free, empty, lambda acc, c: F.when(F.exists(acc, lambda b: over(b, c["span"])), acc).otherwise(F.concat(acc, F.array(c["span"]))))
-    out = out.withColumn("spans", F.when(F.size("__chosen") == 0, F.col("base")).otherwise(F.sort_array(F.concat(F.col("base"), best))))
-    return out.drop("__text", "__chosen", *(f"__{k}" for k in KINDS[:4]))
+    out = out.withColumn(names["items"], F.filter(scored, lambda c: c["p"] >= F.get(limit, c["span"]["kind"])))
+    both = F.sort_array(F.concat(F.col(names["items"]), F.transform(names["base"], lambda x: item(F.lit(2.0), x))))
+    by_p = F.transform(both, lambda c: F.struct(c["p"].alias("p"), c["span"].alias("span")))
+    out = out.withColumn(names["spans"], F.when(F.size(names["items"]) == 0, F.col(names["base"])).otherwise(selected(by_p)))
+    return out.drop(names["items"]), {k: v for k, v in names.items() if k != "items"}
 
 
 def written(spans: Column) -> Column:
@@ -245,26 +364,25 @@ def written(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each run of overlapping spans replaced by the kind of its first span in brackets."""
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-
-    def joined(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        wider = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], x["end"]).alias("end"))
-        meets = F.coalesce(x["start"] < last["end"], F.lit(False))
-        return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
+    kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    def runs(spans: Column) -> Column:
+        return F.transform(clusters(spans, lambda x: x), lambda some: F.struct(F.get(some, F.lit(0))["start"].alias("start"), F.get(some, F.lit(0))["kind"].alias("kind"), F.array_max(F.transform(some, lambda x: x["end"])).alias("end")))
 
-    def built(runs: Column) -> Column:
-        end = lambda i: F.coalesce(F.get(runs, i)["end"], F.lit(0))
-        pieces = F.transform(runs, lambda x, i: F.concat(F.substring(F.col(text), end(i - 1) + 1, x["start"] - end(i - 1)), F.get(names, x["kind"])))
-        return F.concat(F.array_join(pieces, ""), F.substring(F.col(text), end(F.size(runs) - 1) + 1, F.length(text)))
+    def built(found: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(found, i)["end"], F.lit(0))
+        pieces = F.transform(found, lambda x, i: F.concat(F.substring(F.col(text), end(i - 1) + 1, x["start"] - end(i - 1)), F.get(kinds, x["kind"])))
+        return F.concat(F.array_join(pieces, ""), F.substring(F.col(text), end(F.size(found) - 1) + 1, F.length(text)))
 
-    found = detected(docs, text)
-    clean = F.when(F.size("spans") == 0, F.col(text)).otherwise(let(F.aggregate("spans", empty, joined), built))
+    found, names = _searched(docs, text)
+    clean = F.when(F.size(names["spans"]) == 0, F.col(text)).otherwise(let(runs(F.col(names["spans"])), built))
     return found.withColumn(text, clean).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """The query's columns, and n_spans (long) and private (boolean): whether the text has any."""
     found = detected(docs.select("doc_id", "text"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("private"),
+    )
