@@ -1,34 +1,39 @@
 """Quality rules as a short-circuit cascade, DataFrame functions only.
 
-Each rule is a boolean column over the text. The cascade measures, on a sample, what each rule costs
-and which share of rows it rejects, and puts the rules in the order of rejection per cost. One CASE
-expression then evaluates them in that order; a row that one rule rejects is spared the others. The
-verdict (any rule rejects) doesn't depend on the order.
-
-Defined cases: a null text counts as the empty text, which too_few_words rejects. Repeated rows and
-ids are judged one by one. Other columns pass through; a clash with a column that is added here
-replaces the old one.
+Each rule is a boolean column over the text, with the work that it does on a row: characters and words
+that it touches, weighted by what one takes. On a sample one job adds up, for each set of rules that
+reject a row together, the rows and every rule's work there. The order is then built rule by rule: of
+those left, the one comes next that rejects most per work among the rows that no earlier rule rejects.
+One CASE expression evaluates the rules in that order; a row that one rule rejects is spared the others.
+The verdict (any rule rejects) doesn't depend on the order, and the order is the same on every run.
+
+Defined cases: a null text counts as the empty text, which too_few_words rejects. Very long texts are
+judged whole. Ties of two rules go to the one that is declared first. Repeated rows and ids are judged one
+by one. accepted() passes all columns through, whatever their names; the columns that cascade() adds
+replace others of their names. An empty table has the order of the declaration.
 """
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let
+from .common import SPACE, fresh, let
 
 #: Words in a repeated window.
 WINDOW = 5
-#: Rows of the sample on which costs and selectivities are estimated; it decides the order only.
+#: Rows of the sample on which work and selectivities are estimated; it decides the order only.
 SAMPLE_ROWS = 2000
+#: Time per character or word, in units of a pattern of single capitals per character (about 10 ns, as
+#: measured once on 25 million characters); and what a comparison takes.
+WORK, READ = {"pattern": 1.0, "marks": 0.4, "lines": 0.35, "windows": 70.0, "length": 0.05}, 2.0
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
     rejects: Column
-    #: Assumed cost where nothing could be measured.
-    cost: float
+    #: What it does on a row, in about the time that a regular expression takes for a character.
+    work: Column
 
 
 def words_of(text: Column) -> Column:
@@ -74,41 +79,46 @@ def default_rules(text: Column, words: Column, repeat_words: Column | None = Non
     """Columns that are given are used; the others are computed where a rule needs them."""
     text = F.coalesce(text, F.lit(""))
     n = F.size(words).cast("long")
+    chars = F.length(text).cast("double")
+    read = F.lit(READ)
+    windows_work = read if repeat_words is not None else read + WORK["windows"] * n
+    symbols_work = read if symbols is not None else read + WORK["marks"] * chars
+    lines_work = read if dup_lines is not None else read + WORK["lines"] * chars
     repeat_words = repeat_words_of(words) if repeat_words is None else repeat_words
     symbols = symbols_of(text) if symbols is None else symbols
     dup_lines = dup_lines_of(text) if dup_lines is None else dup_lines
-    chars = F.length(text)
     return [
-        Rule("too_few_words", n < 10, 1),
-        Rule("repeated_windows", 100 * repeat_words > 20 * n, 60),
-        Rule("symbols", 10 * symbols > 3 * n, 8),
-        Rule("shouting", 2 * F.length(F.regexp_replace(text, r"[^A-Z]+", "")) > chars, 8),
-        Rule("exclamations", 2 * F.length(F.regexp_replace(text, r"[^!]+", "")) > n, 6),
-        Rule("duplicate_lines", (dup_lines >= 3) & (2 * dup_lines > F.size(F.split(text, "\n", -1))), 10),
-        Rule("word_length", (chars > 30 * n) | (chars < 2 * n), 2),
+        Rule("too_few_words", n < 10, read),
+        Rule("repeated_windows", 100 * repeat_words > 20 * n, windows_work),
+        Rule("symbols", 10 * symbols > 3 * n, symbols_work),
+        Rule("shouting", 2 * F.length(F.regexp_replace(text, r"[^A-Z]+", "")) > F.length(text), read + WORK["pattern"] * chars),
+        Rule("exclamations", 2 * F.length(F.regexp_replace(text, r"[^!]+", "")) > n, read + WORK["pattern"] * chars),
+        Rule("duplicate_lines", (dup_lines >= 3) & (2 * dup_lines > F.size(F.split(text, "\n", -1))), lines_work + WORK["lines"] * chars),
+        Rule("word_length", (F.length(text) > 30 * n) | (F.length(text) < 2 * n), read + WORK["length"] * chars),
     ]
 
 
 def measured_order(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """rules by rejections per second on the sample's rows, highest first. Ties keep their order."""
-    sample = sample.persist()
-    try:
-        if not (rows := sample.count()):
-            return sorted(rules, key=lambda r: r.cost)
-
-        def timed(c: Column) -> tuple[float, int]:
-            began = time.perf_counter()
-            n = sample.agg(F.count_if(c).alias("n")).first()["n"]
-            return time.perf_counter() - began, n
-
-        idle = timed(F.lit(True))[0]
-        rate = {}
-        for r in rules:
-            took, n = timed(r.rejects)
-            rate[r.name] = (n / rows) / max(took - idle, 1e-3)
-        return sorted(rules, key=lambda r: -rate[r.name])
-    finally:
-        sample.unpersist()
+    """rules, each the best for the rows of the sample that the rules before it leave."""
+    rejects = sum((F.when(r.rejects, F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(rules)), F.lit(0))
+    found = sample.select(rejects.alias("__set"), *(r.work.alias(f"__work{k}") for k, r in enumerate(rules)))
+    found = found.groupBy("__set").agg(F.count("*").alias("__n"), *(F.sum(f"__work{k}").alias(f"__work{k}") for k in range(len(rules))))
+    return greedy([(r["__set"], r["__n"], [r[f"__work{k}"] for k in range(len(rules))]) for r in found.collect()], rules)  # 2^rules rows at most
+
+
+def greedy(found: list[tuple[int, int, list[float]]], rules: list[Rule]) -> list[Rule]:
+    """found: which rules (bits) reject so many rows together, and every rule's work on these."""
+    out: list[Rule] = []
+    left = list(range(len(rules)))
+    while left:
+        def gain(k: int) -> float:
+            return sum(n for s, n, _ in found if s >> k & 1) / max(sum(w[k] for _, _, w in found), 1e-9)
+
+        best = max(left, key=lambda k: (gain(k), -k))
+        out.append(rules[best])
+        left.remove(best)
+        found = [x for x in found if not x[0] >> best & 1]
+    return out
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -125,17 +135,37 @@ def with_words(docs: DataFrame, text: str, words: str) -> DataFrame:
 
 def cascade(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, rules=default_rules) -> DataFrame:
     """docs with rejected_by (string, null if kept) and kept (boolean)."""
-    words = "__words"
-    ready = with_words(docs, text, words)
-    made = rules(F.col(text), F.col(words))
-    ordered = measured_order(with_words(sampled(docs, sample_rows).select(text), text, words), made)
-    return ready.withColumn("rejected_by", verdict(ordered)).withColumn("kept", F.col("rejected_by").isNull()).drop(words)
+    first = _verdict(docs, text, sample_rows, rules)
+    return docs.withColumn("rejected_by", first).withColumn("kept", F.col("rejected_by").isNull())
+
+
+def accepted(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, rules=default_rules) -> DataFrame:
+    """docs without the rows that some rule rejects."""
+    return docs.filter(_verdict(docs, text, sample_rows, rules).isNull())
+
+
+def _verdict(docs: DataFrame, text: str, sample_rows: int, rules) -> Column:
+    names = [r.name for r in ordered(docs, text, sample_rows, rules)]
+
+    def first(words: Column) -> Column:
+        made = {r.name: r for r in rules(F.col(text), words)}
+        return verdict([made[n] for n in names])
+
+    # the words are bound once: a projection of them would be copied into every rule that is pushed below it
+    return let(words_of(F.col(text)), first)
+
+
+def ordered(docs: DataFrame, text: str, sample_rows: int, rules) -> list[Rule]:
+    words = fresh(docs, "__words")
+    return measured_order(with_words(sampled(docs, text, sample_rows), text, words), rules(F.col(text), F.col(words)))
 
 
-def sampled(docs: DataFrame, rows: int, seed: int = 11) -> DataFrame:
-    """About so many rows from all over docs; the order of rules is all that hangs on them."""
+def sampled(docs: DataFrame, text: str, rows: int) -> DataFrame:
+    """About so many rows from all over docs, the same however these are partitioned: those with the least
+    hashes of text and id. The order of rules is all that hangs on them."""
     n = docs.count()
-    return docs.sample(False, min(1.0, rows / max(n, 1)), seed)
+    key = F.xxhash64(*({"doc_id": None, text: None} if "doc_id" in docs.columns else [text]))
+    return docs.filter(F.pmod(key, F.lit(1 << 40)) < int((1 << 40) * min(1.0, rows / max(n, 1))))
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -151,11 +181,12 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The measures of every document beside the cascade's verdict; the cascade reads the measures."""
+    """The measures of every document beside the cascade's verdict. All measures are asked for, so the
+    rules read them, and it is these rules, whose work is less, that are put in order."""
     made = lambda: default_rules(F.col("text"), F.col("__words"), F.col("n_repeat_words"), F.col("n_symbols"), F.col("n_dup_lines"))
-    ordered = measured_order(with_words(sampled(docs, sample_rows).select("text"), "text", "__words"), default_rules(F.col("text"), F.col("__words")))
-    rules = {r.name: r for r in made()}
-    out = measures(docs.select("doc_id", "text")).withColumn("rejected_by", verdict([rules[r.name] for r in ordered]))
+    own = docs.select("doc_id", "text")
+    order = measured_order(measures(sampled(own, "text", sample_rows)), made())
+    out = measures(own).withColumn("rejected_by", verdict(order))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -116,6 +116,27 @@ def test_rules(spark):
     assert quality_rules.cascade(d).filter("kept").count() == 2 and quality_rules.report(d.limit(0)).count() == 0
 
 
+def test_order_of_rules(spark):
+    rule = lambda name: quality_rules.Rule(name, F.lit(True), F.lit(1.0))
+    # b rejects most, but for ten times the work; once a is through, c rejects nothing that is left
+    found = [(0b001, 30, [30.0, 300.0, 33.0]), (0b101, 20, [20.0, 200.0, 22.0]), (0b010, 60, [60.0, 600.0, 66.0]), (0b100, 0, [0.0] * 3), (0, 100, [100.0, 1000.0, 110.0])]
+    assert [r.name for r in quality_rules.greedy(found, [rule("a"), rule("b"), rule("c")])] == ["a", "b", "c"]
+    assert [r.name for r in quality_rules.greedy([], [rule("a"), rule("b")])] == ["a", "b"]
+    rows = [(i, "x " * 4) for i in range(40)] + [(i, "AB CD " * 30 + str(i)) for i in range(40, 50)] + [(i, f"some plain words {i} that nobody will ever have to reject here at all " + " ".join(f"w{i}{k}" for k in range(300))) for i in range(50, 100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    orders = [[r.name for r in quality_rules.ordered(x, "text", 2000, quality_rules.default_rules)] for x in (d.repartition(1), d.repartition(3), d.repartition(2))]
+    assert orders[0] == orders[1] == orders[2] and orders[0][0] == "too_few_words" and sorted(orders[0]) == sorted(r.name for r in quality_rules.default_rules(F.col("text"), F.col("text")))
+    assert quality_rules.accepted(d).count() == quality_rules.cascade(d).filter("kept").count() == 50
+
+
+def test_rules_leave_the_callers_columns(spark):
+    long = " ".join(f"w{i}" for i in range(50_000))
+    d = spark.createDataFrame([(1, "a b", "x", 1), (2, long, "y", 2), (3, None, "z", 3)], "doc_id long, text string, rejected_by string, __words int")
+    out = quality_rules.accepted(d)
+    assert out.schema == d.schema and [(r["doc_id"], r["rejected_by"], r["__words"]) for r in out.collect()] == [(2, "y", 2)]
+    assert quality_rules.accepted(d.limit(0)).count() == 0
+
+
 def test_language_and_quality(spark):
     words = {"aa": "lorem ipsum dolor amet", "bb": "shed thing wharf knight"}
     rows = [(i, " ".join([words[k]] * 9), k) for i, k in enumerate(["aa", "bb"] * 30)] + [(None, None, None), (900, "123 !!", "aa"), (901, "", None)]
