@@ -15,7 +15,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.cascade(docs).filter("kept").select(*docs.columns)
+    return quality_rules.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
