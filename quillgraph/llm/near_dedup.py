@@ -14,17 +14,26 @@ registers of a union are the maxima, and two sets agree in a register with about
    that hold several, each member's shingles that no other such member has are counted. What a pair has
    in common is bounded by the rest of either set, and so is its similarity.
 5. Every member of such a bucket is paired with the one that shares most of its set (the centre of a
-   group of edited copies), and links are contracted again. Last, the members outside a bucket's largest
-   component are paired with all members of other components that the bound lets through, also where it
-   is taken for each of PARTS parts of the sets by itself, estimated and verified. So components are
-   those of all candidate pairs, and hardly any pair below the threshold is tested on full sets.
+   group of edited copies), and links are contracted again. Last, what remains is compared across
+   components. By the bound the smaller set of a pair must have a share of 2t / (1 + t) in common with
+   others, so the many copies of a page whose edits are all their own drop out one by one, before any two
+   meet. The others meet in cells of CELL by CELL members, so that no task gets a large bucket whole;
+   pairs that the bound lets through, also where it is taken for each of PARTS parts of the sets by
+   itself, are estimated and verified. A bucket takes at most (members that may be the smaller) times
+   (members) comparisons of counts.
+
+So components are those of all candidate pairs, and hardly any pair below the threshold is tested on full
+sets. Elements are hashes of 64 bits: two sets of a million elements that share none seem to share one in
+about 2 of 10^8 cases, and one element changes no verdict but that of a pair exactly at the threshold.
 
 At similarity 0.85 a pair shares no bucket with probability (1 - 0.85^6)^36, 4 in 10^8; at 0.8, 2 in 10^5.
 
 Defined cases: a text without words, or null, has the empty set and is linked with nothing; with fewer
 words than a shingle the whole sequence is its one element. Rows that share a doc_id are one document:
 links of any of them count for all. Rows without a doc_id take part, and get their component's least id,
-or null where none has an id. Other columns are not read.
+or null where none has an id. Ties of main components and centres go to the larger node number, which no
+result hangs on. Very long texts are read whole, each by itself. Other columns are not read, and
+deduplicated() passes them through.
 """
 import hashlib
 from collections.abc import Iterator
@@ -35,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import chunks, mixed, span_hashes, word_spans
-from .common import stored
+from .common import fresh, stored
 
 SHINGLE = 5
 BANDS, ROWS = 36, 6
@@ -47,6 +56,10 @@ MARGIN = 0.12
 PARTS = 128
 #: Ids of 8 bytes up to which a list of documents is broadcast rather than shuffled with the texts.
 BROADCAST_IDS = 500_000
+#: Members of a bucket on either side of a cell in which they are compared.
+CELL = 2000
+#: A set is common from so many copies on, and from so large a share of all rows: at most HOT_SHARE sets are.
+HOT_COPIES, HOT_SHARE = 10_000, 10_000
 
 _draw = np.random.default_rng(20240229)
 _XOR = _draw.integers(0, 2**32, REGISTERS, dtype=np.uint32)
@@ -127,6 +140,19 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return _GRID[like.argmax(axis=1)]
 
 
+def text_sets(docs: DataFrame, text: str) -> DataFrame:
+    """key (SHA-256 of the text), set (digest of its set) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0)):
+                keys = [hashlib.sha256(data[a:e]).hexdigest() for a, e in zip(offsets, offsets[1:])]
+                sets = [hashlib.sha256(s.tobytes()).digest()[:16] for s in shingle_sets(data, offsets)]
+                yield pa.record_batch([pa.array(keys, pa.string()), pa.array(sets, pa.binary())], ["key", "set"])
+
+    return docs.select(text).mapInArrow(run, "key string, set binary")
+
+
 def sketched(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, n, digest (of the set), regs."""
 
@@ -320,24 +346,51 @@ def with_centre(rows: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
 
 def left_over(rows: DataFrame, centres: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a bucket that are in different components and weren't tested with its least
-    node or its centre. Members of the largest component are met by the others only. Nodes that share
-    several buckets meet in the one of the first band in which their registers agree."""
-    some = rows.join(centres, "key").filter("node <> leader and node <> centre").join(nodes.select("node", "regs"), "node").join(parts, "node")
+    node or its centre. Of a pair, x has the smaller set (or, of equal ones, the smaller node); with
+    nx <= ny, possible() asks for 2 * percent * nx <= (100 + percent) * cx. Nodes that share several
+    buckets meet in the one of the first band in which their registers agree."""
+    some = rows.join(centres, "key").filter("node <> leader and node <> centre").filter(100 * F.col("c") >= percent * F.col("n"))
+    some = some.withColumn("smaller", (100 + percent) * F.col("c") >= 2 * percent * F.col("n"))
+    cells = some.groupBy("key").agg(F.ceil(F.count_if("smaller") / CELL).cast("int").alias("across"), F.ceil(F.count("*") / CELL).cast("int").alias("down")).filter("across > 0")
+    some = some.join(cells, "key").join(nodes.select("node", "regs"), "node").join(parts, "node")
     side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp{x}"), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("regs").alias(f"regs{x}"), F.col("parts").alias(f"parts{x}")]
-    x = some.filter("comp <> main").select("key", "band", *side("x"))
-    y = some.select("key", *side("y"), (F.col("comp") == F.col("main")).alias("in_main"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = some.filter("smaller").select("key", "band", *side("x"), own("across").alias("i"), every("down").alias("j"))
+    y = some.select("key", *side("y"), own("down").alias("j"), every("across").alias("i"))
     part = lambda regs, k: F.substring(regs, k * ROWS + 1, F.lit(ROWS))
     before = F.exists(F.slice(F.array(*map(F.lit, range(BANDS))), F.lit(1), F.col("band")), lambda k: part(F.col("regsx"), k) == part(F.col("regsy"), k))
-    wanted = (F.col("compx") != F.col("compy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & possible("x", "y", percent) & ~before & possible_by_parts("x", "y", percent)
-    return x.join(y, "key").filter(wanted).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    in_order = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
+    wanted = (F.col("compx") != F.col("compy")) & in_order & possible("x", "y", percent) & ~before & possible_by_parts("x", "y", percent)
+    return x.join(y, ["key", "i", "j"]).filter(wanted).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    out = _with_class(*_classed(docs, percent, text))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _with_class(rows: DataFrame, of_set: DataFrame) -> DataFrame:
+    """doc_id, n, component_id (null where the set is empty) of every row. Copies of one text share a
+    digest: common ones, of which there is a bounded number, are looked up where they are."""
+    slim = rows.select("doc_id", "n", "digest")
+    common = F.col("copies") > max(HOT_COPIES, rows.count() // HOT_SHARE)
+    hot = F.broadcast(of_set.filter(common).select("digest", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")))
+    own = slim.filter("n > 0").join(hot, "digest", "left")
+    near = own.filter("is_hot").select("doc_id", "n", F.col("hot_id").alias("component_id"))
+    far = own.filter("is_hot is null").select("doc_id", "n", "digest").join(of_set.filter(~common).select("digest", "component_id"), "digest", "left").select("doc_id", "n", "component_id")
+    return near.unionAll(far).unionAll(slim.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
+
+
+def _classed(docs: DataFrame, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, digest, regs of every row; digest, copies, component_id, comp of every set but the empty one."""
     rows = stored(sketched(docs, text))
     # rows that share an id are one document, so their nodes are tied below
     nodes = stored(
-        rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs")).withColumn("node", F.monotonically_increasing_id())
+        rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
     )
     key = lambda k: F.xxhash64(F.lit(k), F.substring("regs", k * ROWS + 1, ROWS))
     bands = nodes.select("node", F.posexplode(F.array(*map(key, range(BANDS)))).alias("band", "key"))
@@ -347,7 +400,8 @@ def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame
     def sets_of(wanted: DataFrame) -> DataFrame:
         return stored(full_sets(docs, nodes, wanted, text))
 
-    same_id = rows.filter("n > 0 and doc_id is not null").select("doc_id", "digest").distinct().join(nodes.select("digest", "node"), "digest")
+    several = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).filter("a <> z").select("doc_id")
+    same_id = rows.filter("n > 0").join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(nodes.select("digest", "node"), "digest")
     shared = same_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
     ties = same_id.join(shared, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     pairs = stored(likely(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent))
@@ -365,21 +419,50 @@ def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame
         links = links.unionAll(more)
         comps = components(links)
     now = labelled(rest.drop("comp", "main"), comps)
-    main = now.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).getField("comp").alias("main")).filter("comps > 1").select("key", "main")
-    more = stored(tested(left_over(now.join(main, "key"), centres, nodes, common.select("node", "parts"), percent), known, percent))
+    open_keys = now.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("key")
+    more = stored(tested(left_over(now.join(open_keys, "key", "left_semi"), centres, nodes, common.select("node", "parts"), percent), known, percent))
     if not more.isEmpty():
         comps = components(links.unionAll(more))
-    of_node = labelled(nodes.select("node", "digest", "first_id"), comps)
+    of_node = labelled(nodes.select("node", "digest", "first_id", "copies"), comps)
     least = of_node.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    by_digest = of_node.join(least, "comp").select("digest", "component_id")
-    out = rows.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows, stored(of_node.join(least, "comp").select("digest", "copies", "component_id", "comp"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
-    """docs without the documents whose class has a smaller doc_id."""
-    gone = stored(classes(docs, percent, text).filter("not kept and doc_id is not null").select("doc_id").distinct())
+    """One document of each class: that with the least doc_id. Of rows that are equal in doc_id and text one
+    stays; rows that share a doc_id and differ in text are one document and stay or go together. Rows
+    without a doc_id go where their class has one; of a class without any, one row stays. Texts without
+    words are no copies of anything and stay."""
+    rows, of_set = _classed(docs, percent, text)
+    gone = stored(_with_class(rows, of_set).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.filter(F.col("doc_id").isNotNull())
+    out = named.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    # rows with one id and one text: only where there are some are they brought together
+    key, mark = fresh(docs, "__key"), fresh(docs, "__mark")
+    row_key = F.xxhash64(F.col("doc_id"), F.col(text)), F.xxhash64(F.lit(1), F.col(text), F.col("doc_id"))
+    again = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id").distinct()
+    again = stored(again.withColumnRenamed("doc_id", key))
+    if not again.isEmpty():
+        few = again.count() <= BROADCAST_IDS
+        some = out.join(F.broadcast(again) if few else again, F.col("doc_id").cast("long") == F.col(key), "left_semi")
+        rest = out.join(F.broadcast(again) if few else again, F.col("doc_id").cast("long") == F.col(key), "left_anti")
+        some = some.withColumns({key: row_key[0], mark: row_key[1]})
+        worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        out = rest.unionByName(some.filter(worded).dropDuplicates([key, mark]).drop(key, mark)).unionByName(some.filter(~worded).drop(key, mark))
+    nameless = docs.filter(F.col("doc_id").isNull())
+    if nameless.isEmpty():
+        return out.select(*docs.columns)
+    return out.unionByName(_nameless(nameless, of_set, text)).select(*docs.columns)
+
+
+def _nameless(docs: DataFrame, of_set: DataFrame, text: str) -> DataFrame:
+    """Of docs without a doc_id those without words, and one for each class that no id is in."""
+    digest, comp = fresh(docs, "__digest"), fresh(docs, "__comp")
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.filter(worded).withColumn(digest, F.sha2(F.col(text), 256))
+    found = text_sets(docs.filter(worded), text).distinct()
+    free = found.join(of_set.filter("component_id is null").select(F.col("digest").alias("set"), F.col("comp").alias(comp)), "set")
+    chosen = stored(free.groupBy(comp).agg(F.min("key").alias(digest)).select(digest))
+    kept = keyed.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, digest, "left_semi").dropDuplicates([digest]).drop(digest)
+    return docs.filter(~worded).unionByName(kept)

@@ -84,3 +84,53 @@ def test_long_words_of_a_pattern_are_told_apart(spark):
         word += word.translate(str.maketrans("ab", "ba"))
     d = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in nd.classes(d, 85).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "q r s t u v"
+    rows = [(1, a, "x"), (1, a, "y"), (1, b, "x"), (2, b, "x"), (None, a, "x"), (None, c, "x"), (None, c, "y"), (None, c.upper(), "z"), (3, a, "x"), (4, "", "x"), (4, "", "x"), (5, None, "x"), (None, None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __key string")
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in nd.deduplicated(d, 85).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (4, ""), (4, ""), (5, ""), (None, "")], key=str)
+    assert nd.deduplicated(d, 85).schema == d.schema and nd.deduplicated(d.limit(0), 85).count() == 0
+
+
+def test_copies_of_a_common_text_are_looked_up_in_place(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HOT_COPIES", 5)
+    monkeypatch.setattr(nd, "HOT_SHARE", 5)
+    a = "one two three four five six seven"
+    rows = [(i, a) for i in range(40)] + [(50, "eight nine ten eleven twelve"), (51, "Eight nine ten eleven twelve"), (60, ""), (61, None)]
+    got = {r["doc_id"]: r["component_id"] for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == {**{i: 0 for i in range(40)}, 50: 50, 51: 50, 60: 60, 61: 61}
+
+
+def variants(r, n, own, base):
+    """Copies of base, each with `own` words changed to such that no other has."""
+    out = []
+    for k in range(n):
+        t = list(base)
+        for at in r.sample(range(0, len(t), 10), own):
+            t[at] = f"v{k}x{at}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_variants_below_the_threshold_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CELL", 40)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    # any two share about 0.83 of their shingles, and no third text shares the rest
+    texts = variants(r, 500, 8, base)
+    nodes = [(i, t) for i, t in enumerate(texts)]
+    seen = []
+    plain = nd.tested
+    monkeypatch.setattr(nd, "tested", lambda pairs, known, percent: seen.append(pairs.count()) or plain(pairs, known, percent))
+    d = spark.createDataFrame(nodes, "doc_id long, text string")
+    got = nd.classes(d, 85).collect()
+    assert all(x["component_id"] == x["doc_id"] for x in got)
+    assert sum(seen) <= 2 * len(nodes)  # with the centre, and none besides
+    # near the threshold on both sides, dealt over many cells
+    some = variants(r, 60, 3, base) + variants(r, 60, 6, base) + variants(r, 60, 10, base)
+    rows = list(enumerate(some))
+    got = {x["doc_id"]: x["component_id"] for x in nd.classes(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == brute(rows, 85)
