@@ -5,9 +5,10 @@ inside a sentence) and units behind a number give way to typed placeholders. Win
 tokens with LITERALS or more words that are no placeholders are hashed; documents' windows meet those of
 the benchmark in a hash join. For each document, item and alignment the slots behind the placeholders
 are then compared: for each value of the item, the value that stands for it most often in the document
-counts, and windows with another one are dropped unless they are the item's word for word. So a question
-with other numbers or names is found, and so is one with a single value edited. Names are matched as
-plain words too, for copies that lost their capitals.
+counts, and for each value of the document the one that it stands for most often; windows with another one
+are dropped unless they are the item's word for word. So a question with other numbers or names is found,
+and so is one with a single value edited. Names are matched as plain words too, for copies that lost their
+capitals.
 
 A document is contaminated by an item if SHARE of the item's windows are found in consistent places, or
 a run of RUN words of it. Items of fewer than WINDOW tokens, or without a window of enough words, have no
@@ -16,13 +17,15 @@ are tokens each.
 
 Defined cases: null and empty texts are clean. Items without windows that stand inside a longer sentence
 can't be told from chance and don't match. Items with equal templates are each checked
-and reported; where one of them stands word for word, only those that do are reported there. Rows that share a doc_id are judged each by its own text. Other columns
-pass through; the columns that are added replace others of their names.
+and reported; where one of them stands word for word, only those that do are reported there. Ties of values
+go to the item's own, then to the first in the alphabet. Very long texts are read whole. Rows that share a
+doc_id are judged each by its own text. clean() passes all columns through, whatever their names; the
+columns that flagged() adds replace others of their names. Rows are known by 128 bits of id and text.
 """
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import fresh, let, stored
 
 WINDOW, LITERALS, SHARE = 8, 4, 0.3
 #: Words of a consistent run that count whatever the item's length.
@@ -44,6 +47,11 @@ NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 UNITS = "mm cm m km inch inches ft feet yard yards mile miles mg g kg lb lbs ton tons ml cl l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years cent cents dollar dollars usd euro euros eur pound pounds percent".split()
 
 
+def row_of(text: str) -> Column:
+    """What a row is known by: 128 bits of its id and text."""
+    return F.struct(F.xxhash64("doc_id", text).alias("a"), F.xxhash64(F.lit(1), text, "doc_id").alias("b"))
+
+
 def plain(text: Column) -> Column:
     """Lower-case tokens joined by single spaces, characters of UNSPACED one by one; names carry NAME in front."""
     text = F.coalesce(text, F.lit(""))
@@ -117,19 +125,19 @@ def short_matches(docs: DataFrame, short: DataFrame, text: str) -> DataFrame:
     items = items.select("item_id", F.size("parts").alias("k"), F.array_join("parts", " ").alias("tokens"))
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())
     if not sizes:
-        return docs.select(F.lit(0).cast("long").alias("rid"), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("share"), F.lit(False).alias("reparameterised")).limit(0)
+        return docs.select(row_of(text).alias("rid"), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("share"), F.lit(False).alias("reparameterised")).limit(0)
 
     def runs(parts: Column, k: int) -> Column:
         return F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - (k - 1), F.lit(0))), lambda x, i: F.array_join(F.slice(parts, i + 1, k), " "))
 
     segments = let(_segments(F.col(text)), lambda parts: F.array_distinct(F.concat(*(runs(parts, k) for k in sizes))))
-    rows = _keyed(docs.select(F.xxhash64("doc_id", text).alias("rid"), F.explode(segments).alias("tokens")), "rid")
+    rows = _keyed(docs.select(row_of(text).alias("rid"), F.explode(segments).alias("tokens")), "rid")
     known = stored(_keyed(items, "item_id").select("item_id", F.col("tokens").alias("own"), "key").distinct())
     met = rows.join(F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known, "key")
     slot = lambda x: x.isin(NAME, NUMBER, UNIT)
     pairs = F.transform(F.split("key", " "), lambda x, i: F.when(slot(x), F.struct(F.get(F.split("own", " "), i).alias("own"), F.get(F.split("tokens", " "), i).alias("doc"))))
     met = met.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))).withColumn("exact", F.col("own") == F.col("tokens"))
-    agrees = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["own"])))
+    agrees = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["own"])))) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["doc"]))))
     words = F.size(F.filter(F.split("key", " "), lambda x: ~slot(x)))
     met = met.filter(F.col("exact") | (agrees & (words >= SHORT_LITERALS)))
     met = met.withColumn("copied", F.max("exact").over(Window.partitionBy("rid", "key", "tokens"))).filter(F.col("exact") | ~F.col("copied"))
@@ -137,7 +145,7 @@ def short_matches(docs: DataFrame, short: DataFrame, text: str) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """rid (hash of a document's id and text), item_id, share, reparameterised, for documents and items
+    """rid (row_of a document), item_id, share, reparameterised, for documents and items
     that match."""
     items = benchmark.select(F.col("item_id").cast("long"), "text", plain(F.col("text")).alias("tokens")).filter("tokens <> ''").dropDuplicates(["item_id", "tokens"])
     same, bare = template(F.col("tokens")), F.coalesce(template(unnamed(F.col("tokens"))), F.lit(""))
@@ -146,7 +154,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     forms = items.groupBy("form").agg(F.min("tokens").alias("tokens"))
     located = stored(_located(forms, "form").withColumnRenamed("pos", "at").dropDuplicates(["window", "form", "at"]))
     total = located.groupBy("form").agg(F.countDistinct("at").alias("total"))
-    rows = docs.select(F.xxhash64("doc_id", text).alias("rid"), plain(F.col(text)).alias("tokens"))
+    rows = docs.select(row_of(text).alias("rid"), plain(F.col(text)).alias("tokens"))
     found = _located(rows, "rid")
     known = located.select("window", "form", "at")
     hits = stored(found.join(F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known, "window").select("rid", "form", "pos", "at").distinct())
@@ -162,17 +170,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     # only documents with slots in their hits are looked at again; their ids are broadcast as far as the bound goes
     wanted = stored(with_item.select("rid").distinct())
     few = wanted.count() <= BROADCAST_IDS
-    keyed = docs.withColumn("rid", F.xxhash64("doc_id", text)).select("rid", text).join(F.broadcast(wanted) if few else wanted, "rid", "left_semi")
-    hit_rows = keyed.dropDuplicates(["rid"]).select("rid", F.split(plain(F.col(text)), " ").alias("t_rid"))
+    keyed = docs.select(row_of(text).alias("rid"), F.col(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "rid", "left_semi")
+    hit_rows = keyed.dropDuplicates(["rid"]).select("rid", F.split(plain(F.col("text")), " ").alias("t_rid"))
     slots = with_item.join(hit_rows, "rid")
     slots = slots.select("rid", "item", "at", "shift", F.explode(F.transform("item_slots", lambda x: F.struct((F.col("at") + x["place"]).alias("place"), x["value"].alias("own"), F.replace(F.get("t_rid", F.col("pos") + x["place"]), F.lit(NAME), F.lit("")).alias("doc")))).alias("v"))
-    # along each alignment, the value of the document that stands most often for a value of the item
+    # along each alignment, the value of the document that stands most often for a value of the item, and the
+    # value of the item that one of the document stands for most often
     values = slots.select("rid", "item", "at", "shift", "v.place", "v.own", "v.doc").repartition("rid", "item")
     alignment = ["rid", "item", "shift"]
     values = values.withColumn("n", F.size(F.collect_set("place").over(Window.partitionBy(*alignment, "own", "doc"))))
     usual = F.first("doc").over(Window.partitionBy(*alignment, "own").orderBy(F.desc("n"), F.desc(F.col("doc") == F.col("own")), "doc"))
+    source = F.first("own").over(Window.partitionBy(*alignment, "doc").orderBy(F.desc("n"), F.desc(F.col("doc") == F.col("own")), "own"))
     other = F.max(F.col("doc") != F.col("own")).alias("other")
-    checked = values.withColumn("usual", usual).groupBy(*alignment, "at").agg(F.min(F.col("doc") == F.col("usual")).alias("agrees"), other)
+    checked = values.withColumn("usual", usual).withColumn("source", source).groupBy(*alignment, "at").agg(F.min((F.col("doc") == F.col("usual")) & (F.col("own") == F.col("source"))).alias("agrees"), other)
     judged = hits.join(checked, [*alignment, "at"], "left").withColumn("other", F.coalesce("other", F.lit(False)))
     # where an item stands word for word, it isn't also another item of its template with changed slots
     exact = ~F.max("other").over(Window.partitionBy("rid", "same", "shift", "item")) & (F.count("*").over(Window.partitionBy("rid", "same", "shift", "item")) >= enough)
@@ -191,20 +201,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     return per.groupBy("rid", "item_id").agg(F.max("share").alias("share"), F.max("reparameterised").alias("reparameterised"))
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, text: str) -> tuple[DataFrame, bool]:
+    """What is known of the contaminated rows, by rid, and whether it can be broadcast: as many as the
+    benchmark leaked into; beyond the bound both sides are shuffled."""
+    found = stored(matches(docs, benchmark, text).groupBy("rid").agg(
+        F.count("*").alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("share").alias("share"), F.max("reparameterised").alias("reparameterised")
+    ))
+    return found, found.count() <= BROADCAST_WINDOWS
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the contaminated rows."""
+    found, few = _found(docs, benchmark, text)
+    rid = fresh(docs, "__rid")
+    found = found.select(F.col("rid").alias(rid))
+    return docs.withColumn(rid, row_of(text)).join(F.broadcast(found) if few else found, rid, "left_anti").select(*docs.columns)
+
+
 def flagged(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs with contaminated (boolean), n_items (long), item_ids (ascending), share (the largest) and
     reparameterised (whether some item matches with other slots)."""
-    found = matches(docs, benchmark, text).groupBy("rid").agg(
-        F.count("*").alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("share").alias("share"), F.max("reparameterised").alias("reparameterised")
-    )
-    found = stored(found)
-    own = [c for c in docs.columns if c not in ("contaminated", "n_items", "item_ids", "share", "reparameterised")]
-    out = docs.select(*own).withColumn("rid", F.xxhash64("doc_id", text))
-    # contaminated documents: as many as the benchmark leaked into; beyond the bound both sides are shuffled
-    out = out.join(F.broadcast(found) if found.count() <= BROADCAST_WINDOWS else found, "rid", "left")
+    found, few = _found(docs, benchmark, text)
+    added = ("contaminated", "n_items", "item_ids", "share", "reparameterised")
+    own = [c for c in docs.columns if c.lower() not in added]
+    rid, what = fresh(docs, "__rid"), fresh(docs, "__what")
+    found = found.select(F.col("rid").alias(rid), F.struct("n_items", "item_ids", "share", "reparameterised").alias(what))
+    out = docs.withColumn(rid, row_of(text)).join(F.broadcast(found) if few else found, rid, "left")
+    of = lambda name, default: F.coalesce(F.col(what)[name], default).alias(name)
     return out.select(
-        *own, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
+        *own, F.col(what).isNotNull().alias("contaminated"), of("n_items", F.lit(0)).cast("long").alias("n_items"),
+        of("item_ids", F.array().cast("array<bigint>")), of("share", F.lit(0.0)), of("reparameterised", F.lit(False)),
     )
 
 

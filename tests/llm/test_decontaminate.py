@@ -58,3 +58,139 @@ def test_long_runs_short_items_and_unspaced_scripts(spark):
     got = run(spark, docs, [(1, " ".join(words)), (2, "What is 2 times 7?"), (3, han), (4, "42"), (5, "Name it! What is 2 times 7?")])
     assert {k: v["item_ids"] for k, v in got.items()} == {1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [4], 7: [], 8: [2, 5]}
     assert got[3]["reparameterised"] and not got[8]["reparameterised"] and got[1]["share"] < 0.3
+
+
+def test_values_are_compared_both_ways(spark):
+    item = "On day 12 the 30 farmers of the valley sold 7 loads of hay to the miller and 12 farmers sold 30 more"
+    same = "On day 5 the 5 farmers of the valley sold 5 loads of hay to the miller and 5 farmers sold 5 more"
+    other = "On day 5 the 8 farmers of the valley sold 9 loads of hay to the miller and 5 farmers sold 8 more"
+    got = run(spark, [(1, same, 0), (2, other, 0), (3, "Add 5 to 5\nnow", 0), (4, "Add 5 to 6\nnow", 0)], [(1, item), (2, "Add 7 to 9")])
+    assert got[2]["item_ids"] == [1] and got[2]["share"] == 1.0 and got[1]["share"] < got[2]["share"]
+    assert got[3]["item_ids"] == [] and got[4]["item_ids"] == [2]
+
+
+def test_columns_of_the_caller_stay(spark):
+    long = FILL * 500 + ITEM + FILL * 500
+    d = spark.createDataFrame([(1, FILL, 42, "x", 0.5), (2, long, 43, "y", 0.6), (None, None, 44, "z", 0.7)], "doc_id long, text string, rid int, contaminated string, share double")
+    b = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    out = decontaminate.clean(d, b)
+    assert out.schema == d.schema and sorted(map(tuple, out.collect()), key=str) == sorted([(1, FILL, 42, "x", 0.5), (None, None, 44, "z", 0.7)], key=str)
+    got = {r["doc_id"]: (r["rid"], r["contaminated"]) for r in decontaminate.flagged(d, b).collect()}
+    assert got == {1: (42, False), 2: (43, True), None: (44, False)}
+
+
+def plain_python(docs, items):
+    """doc_id -> item_ids, by comparing every window of every text with every window of every item."""
+    import re
+    from collections import Counter, defaultdict
+
+    def tokens(text):  # (token, is a name); ASCII texts only
+        text = re.sub(r"(?<=[0-9])[.,](?=[0-9])", "", text or "")
+        out = []
+        for m in re.finditer(r"[A-Za-z0-9]+", text):
+            name = bool(re.match(r"[A-Z](?=[a-z])", m[0])) and bool(re.search(r"[a-z,;] $", text[: m.start()]))
+            out.append((m[0].lower(), name))
+        return out
+
+    def kinds(toks, names):
+        out = []
+        for i, (t, name) in enumerate(toks):
+            if name and names:
+                out.append("<name>")
+            elif t[0].isdigit():
+                out.append("<number>")
+            elif out and out[-1] == "<number>" and t in decontaminate.UNITS:
+                out.append("<unit>")
+            else:
+                out.append(t)
+        return out
+
+    def windows(toks):
+        found = defaultdict(set)
+        for names in (True, False):
+            k = kinds(toks, names)
+            for i in range(len(k) - 7):
+                w = tuple(k[i : i + 8])
+                if sum(not x.startswith("<") for x in w) >= 4:
+                    found[w].add(i)
+        return found
+
+    result = {}
+    for doc_id, text in docs:
+        t, here, ids = tokens(text), windows(tokens(text)), set()
+        whole = {}  # (template, shift) -> item_id -> no value differs
+        judged = []
+        for item_id, item in items:
+            own = tokens(item)
+            slots = [i for i, k in enumerate(kinds(own, True)) if k.startswith("<")]
+            total = len({i for at in windows(own).values() for i in at})
+            if not total:
+                continue
+            enough = min(0.3 * total, -(-(50 - 8) // 8) + 1)
+            hits = {(pos, at) for w, places in windows(own).items() for at in places for pos in here.get(w, ())}
+            if len({at for _, at in hits}) < enough:
+                continue
+            by_shift = defaultdict(list)
+            for pos, at in hits:
+                by_shift[pos - at].append(at)
+            for shift, ats in by_shift.items():
+                seen = {(i, own[i][0], t[i + shift][0]) for at in ats for i in slots if at <= i < at + 8}
+                count = Counter((o, d) for _, o, d in seen)
+                best = lambda pairs, side: min(pairs, key=lambda p: (-count[p], p[0] != p[1], p[side]))
+                to = {o: best([p for p in count if p[0] == o], 1)[1] for o, _ in count}
+                back = {d: best([p for p in count if p[1] == d], 0)[0] for _, d in count}
+                rows = []
+                for at in ats:
+                    pairs = [(own[i][0], t[i + shift][0]) for i in slots if at <= i < at + 8]
+                    other = any(o != d for o, d in pairs)
+                    rows.append((at, other, not other or all(to[o] == d and back[d] == o for o, d in pairs)))
+                same = (tuple(kinds(own, True)), shift)
+                exact = not any(o for _, o, _ in rows) and len(rows) >= enough
+                whole.setdefault(same, {})[item_id] = exact
+                judged.append((item_id, same, total, rows))
+        kept = defaultdict(lambda: [set(), 0, 1])
+        for item_id, same, total, rows in judged:
+            if any(whole[same].values()) and not whole[same][item_id]:
+                continue
+            ats = sorted(at for at, _, good in rows if good)
+            kept[item_id][0].update(ats)
+            kept[item_id][2] = total
+            first = None
+            for before, at in zip([None, *ats], ats):
+                first = at if before is None or at - before > 8 else first
+                kept[item_id][1] = max(kept[item_id][1], at - first + 8)
+        result[doc_id] = sorted(i for i, (ats, run_of, total) in kept.items() if len(ats) / total >= 0.3 or run_of >= 50)
+    return result
+
+
+def test_equals_plain_python(spark):
+    import random
+
+    r = random.Random(12)
+    words = "river stone market bread copper window garden letter summer yellow quickly under along bright seven paper".split()
+    names, numbers = ["Alice", "Bob", "Mara", "Nils"], ["3", "5", "12", "1,200", "0.5"]
+
+    def sentence(n):
+        out = ["The"]
+        for _ in range(n):
+            x = r.random()
+            out.append(r.choice(names) if x < 0.1 else r.choice(numbers) + r.choice(["", " km", " hours"]) if x < 0.25 else r.choice(words))
+        return " ".join(out) + "."
+
+    items = [(i, sentence(r.choice([12, 25, 40, 120]))) for i in range(12)]
+    items += [(20 + i, items[i][1].replace("3", "12").replace("Bob", "Nils")) for i in range(4)]
+    docs = []
+    for k in range(150):
+        parts = [sentence(r.randint(5, 30))]
+        for _ in range(r.choice([0, 1, 1, 2])):
+            t = r.choice(items)[1].split(" ")
+            for _ in range(r.choice([0, 0, 1, 3, 8])):  # values and words change
+                at = r.randrange(len(t))
+                t[at] = r.choice(names) if t[at] in names else r.choice(numbers) if t[at][0].isdigit() else r.choice([t[at], r.choice(words)])
+            cut = r.choice([0, 0, len(t) // 3, len(t) // 2])
+            parts += [" ".join(t[cut:]), sentence(r.randint(3, 10))]
+        docs.append((k, " ".join(parts) if r.random() < 0.9 else " ".join(parts).lower()))
+    got = run(spark, [(k, t, 0) for k, t in docs], items)
+    want = plain_python(docs, items)
+    assert {k: v["item_ids"] for k, v in got.items()} == want
+    assert 40 < sum(bool(v) for v in want.values()) < 140
