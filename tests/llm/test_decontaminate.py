@@ -13,9 +13,10 @@ def run(spark, docs, items=((7, ITEM), (9, ITEM.replace("Alice", "Bob")), (3, "t
 
 def test_exact_reparameterised_and_clean(spark):
     other = ITEM.replace("10", "7").replace("120", "95").replace("3 km", "8 km").replace("Alice", "Mara")
-    mixed = ITEM.replace("meets Alice", "meets Mara")  # one name became two: the slots don't agree
+    mixed = ITEM.replace("meets Alice", "meets Mara")
     got = run(spark, [(1, FILL + ITEM, 0), (2, FILL + other + " " + FILL, 0), (3, FILL, 0), (4, None, 0), (5, "", 0), (6, ITEM.upper(), 0), (8, FILL + "too short to tell", 0), (10, "1 2 3 4 5 6 7 8 9 10 11 12 13", 0), (11, mixed, 0)])
-    assert [k for k, r in sorted(got.items()) if r["contaminated"]] == [1, 2, 6]
+    # 11: one of two equal names became another; the windows without it are the item's word for word
+    assert [k for k, r in sorted(got.items()) if r["contaminated"]] == [1, 2, 6, 11]
     assert got[1]["item_ids"] == [7] and got[1]["n_items"] == 1 and not got[1]["reparameterised"]
     assert got[2]["reparameterised"] and got[2]["share"] > 0.9
 
