@@ -2,6 +2,11 @@
 
 Each stage takes the documents that the stage before kept and returns what it keeps; the last returns
 the tokens. run() writes each stage's rows to the shared folder and reads them again.
+
+Defined cases: the rules reject null and empty texts. Of rows that are equal in id and text one stays,
+whatever other columns hold; rows without an id are compared by their texts. Very long texts go through
+every stage whole. Columns beside doc_id and text pass through the first four stages, whatever their
+names; n_chars, where there is one, follows the redacted text. Empty tables give empty results.
 """
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +30,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.flagged(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the text."""
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = pii.redacted(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
