@@ -93,14 +93,17 @@ def rotate(dim: int, inverse: bool = False) -> Predictor:
 
 
 def swtranse(dim: int, particles: int, p: float = 2) -> Predictor:
-    """Sliced Wasserstein: the particles of each dimension are sorted before they are compared."""
+    """Sliced Wasserstein: entities have `particles` values for each of dim dimensions, relations one, which
+    moves them all; the particles of each dimension are sorted before they are compared."""
     block = lambda x, d: F.array_sort(F.slice(x, d * particles + 1, F.lit(particles)))
+    spread = lambda r: F.flatten(F.transform(F.slice(r, 1, dim), lambda v: F.array_repeat(v, particles)))
+    moved = lambda h, r: add(h, spread(r))
 
     def score(h: Vec, r: Vec, t: Vec) -> Column:
-        moved = add(h, r)
-        return -total(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: norm(sub(block(moved, d), block(t, d)), p)))
+        m = moved(h, r)
+        return -total(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: norm(sub(block(m, d), block(t, d)), p)))
 
-    return Predictor("swtranse", score, add, lambda t, r: sub(t, r))
+    return Predictor("swtranse", score, moved, lambda t, r: sub(t, spread(r)))
 
 
 def relation_estimate(h: Vec, t: Vec) -> Vec:
@@ -118,46 +121,100 @@ def rescal(dim: int) -> Predictor:
 
 @dataclass(frozen=True)
 class ConvE:
-    """Convolutional scorer, inference only: batch norms use running statistics, nothing is dropped out.
-    Vectors have one leading bias and width * height further values; weights are NumPy arrays."""
+    """Convolutional scorer, inference only: batch norms (without scale and shift) use running means and
+    variances, nothing is dropped out. Vectors have one leading bias and height * width further values; a
+    head's grid stands on top of the relation's. Weights are NumPy arrays: kernels [channels, k, k] and
+    their biases, dense [channels * rows * columns, height * width] and its bias."""
 
     width: int
     height: int
     kernels: object
+    kernel_bias: object
     dense: object
     bias: object
+    #: (mean, variance) by channel and by output.
+    norm_channels: tuple
+    norm_outputs: tuple
+    stride: int = 1
+    padding: int = 0
     size: int = field(init=False)
 
     def __post_init__(self):
         object.__setattr__(self, "size", self.width * self.height + 1)
-        n = self.kernels.shape[0]
-        flat = n * (2 * self.height - 2) * (self.width - 2)
-        if self.dense.shape != (flat, self.size - 1):
-            raise ValueError(f"dense weights of {self.dense.shape}, not {(flat, self.size - 1)}")
+        shape = (self.kernels.shape[0] * self.outputs(2 * self.height) * self.outputs(self.width), self.size - 1)
+        if self.dense.shape != shape:
+            raise ValueError(f"dense weights of {self.dense.shape}, not {shape}")
+
+    def outputs(self, n: int) -> int:
+        """Places of the kernel along n values."""
+        return (n - self.kernels.shape[1] + 2 * self.padding) // self.stride + 1
 
     def tail(self, h, r):
         """Estimated tails of rows of heads and relations: NumPy arrays [rows, size]."""
         import numpy as np
 
+        normed = lambda x, mean, var: (x - mean) / np.sqrt(var + 1e-5)
         grid = lambda x: x[:, 1:].reshape(-1, self.height, self.width)
-        x = np.concatenate([grid(h), grid(r)], axis=1)
-        windows = np.lib.stride_tricks.sliding_window_view(x, (3, 3), axis=(1, 2))
-        conv = np.maximum(np.einsum("bijkl,nkl->bnij", windows, self.kernels), 0)
-        out = np.maximum(conv.reshape(len(x), -1) @ self.dense + self.bias, 0)
+        x = np.pad(np.concatenate([grid(h), grid(r)], axis=1), ((0, 0), *[(self.padding, self.padding)] * 2))
+        windows = np.lib.stride_tricks.sliding_window_view(x, self.kernels.shape[1:], axis=(1, 2))[:, :: self.stride, :: self.stride]
+        conv = np.einsum("bijkl,nkl->bnij", windows, self.kernels) + self.kernel_bias[:, None, None]
+        conv = np.maximum(normed(conv, *(v[:, None, None] for v in self.norm_channels)), 0)
+        out = np.maximum(normed(conv.reshape(len(x), -1) @ self.dense + self.bias, *self.norm_outputs), 0)
         return np.hstack([np.ones((len(x), 1)), out])
 
     def score(self, h, r, t):
         return (self.tail(h, r) * t).sum(axis=1)
 
     @classmethod
-    def seeded(cls, dim: int, aspect: int = 1, channels: int = 4, seed: int = 0) -> "ConvE":
+    def seeded(cls, dim: int, aspect: int = 2, channels: int = 32, filter_size: int = 3, stride: int = 1, padding: int = 0, seed: int = 0) -> "ConvE":
+        """Random weights and running statistics; the grid is `aspect` times as wide as high."""
         import numpy as np
 
-        width = int(((dim - 1) / aspect) ** 0.5)
-        if width * width * aspect != dim - 1:
-            raise ValueError("the dimension isn't 1 + aspect * width^2")
-        g, height = np.random.default_rng(seed), width * aspect
-        return cls(width, height, g.normal(0, 0.1, (channels, 3, 3)), g.normal(0, 0.1, (channels * (2 * height - 2) * (width - 2), dim - 1)), np.zeros(dim - 1))
+        height = int(((dim - 1) / aspect) ** 0.5)
+        if height * height * aspect != dim - 1:
+            raise ValueError("the dimension isn't 1 + aspect * height^2")
+        g, width = np.random.default_rng(seed), height * aspect
+        places = lambda n: (n - filter_size + 2 * padding) // stride + 1
+        flat = channels * places(2 * height) * places(width)
+        small = lambda *n: g.normal(0, 0.1, n)
+        stats = lambda n: (small(n), g.uniform(0.5, 1.5, n))
+        return cls(width, height, small(channels, filter_size, filter_size), small(channels), small(flat, dim - 1), small(dim - 1), stats(channels), stats(dim - 1), stride, padding)
+
+
+def initial_vectors(spark, n: int, width: int, kind: str = "xavier", scale: float = 1.0, seed: int = 0):
+    """id, emb of n vectors: Xavier's uniform or standard normal values, times scale. A value hangs on seed,
+    id and place only, however the rows are dealt."""
+    if kind not in ("xavier", "normal"):
+        raise ValueError(f"no distribution {kind!r}")
+    uniform = lambda i, k: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i, F.lit(k)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    if kind == "xavier":
+        reach = (6.0 / (n + width)) ** 0.5
+        value = lambda i: (uniform(i, 0) * 2 - 1) * (reach * scale)
+    else:
+        value = lambda i: F.sqrt(F.ln(uniform(i, 0)) * -2) * F.cos(uniform(i, 1) * 6.283185307179586) * scale
+    return spark.range(n).select("id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), value).alias("emb"))
+
+
+#: Width of entity and relation vectors by dimension, and how they begin.
+INITIAL = {
+    "transe": (lambda d: (d, d), "xavier", 1.0),
+    "distmult": (lambda d: (d, d), "xavier", 1.0),
+    "rescal": (lambda d: (d, d * d), "xavier", 1.0),
+    "conve": (lambda d: (d, d), "xavier", 1.0),
+    "complex": (lambda d: (2 * d, 2 * d), "normal", 1.0),
+    "rotate": (lambda d: (2 * d, d), "normal", 1e-3),
+}
+
+
+def initial(spark, name: str, entities: int, relations: int, dim: int, particles: int = 1, seed: int = 0):
+    """Entity and relation vectors (id, emb) that a predictor starts from."""
+    if name == "swtranse":
+        return initial_vectors(spark, entities, dim * particles, seed=seed), initial_vectors(spark, relations, dim, seed=seed + 1)
+    if name not in INITIAL:
+        raise ValueError(f"no predictor {name!r}")
+    widths, kind, scale = INITIAL[name]
+    e, r = widths(dim)
+    return initial_vectors(spark, entities, e, kind, scale, seed), initial_vectors(spark, relations, r, kind, scale, seed + 1)
 
 
 def get(name: str, **config) -> Predictor | ConvE:

@@ -6,7 +6,9 @@ breadth-first level; an atom between variables of one level, into a constant, or
 itself takes no part. An atom that is written against its direction is used with the inverse relation.
 Beams are cut by score rounded to 6 places, then by id. The free variable keeps all entities.
 """
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predictors import Predictor
@@ -64,13 +66,24 @@ def clause_scores(c: Clause, instances: DataFrame, entities: DataFrame, relation
     return variable("f")
 
 
-def scores(query: Query, instances: DataFrame, entities: DataFrame, relations: DataFrame, p: Predictor, k: int) -> DataFrame:
-    """query_id, entity_id, score: over disjuncts the largest."""
+def t_conorm(norm) -> Callable[[Column], Column]:
+    """Combines the scores of disjuncts by a fuzzy logic: each is brought into (0, 1) by the logistic function."""
+    inside = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+    return lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: norm.disjunction(a, inside(x)))
+
+
+def scores(query: Query, instances: DataFrame, entities: DataFrame, relations: DataFrame, p: Predictor, k: int, combine: Callable[[Column], Column] | None = None) -> DataFrame:
+    """query_id, entity_id, score: over disjuncts the largest, or what combine makes of the array of them, in
+    ascending order."""
     out = None
     for c in query.clauses:
         part = clause_scores(c, instances, entities, relations, p, k)
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("query_id", "entity_id").agg(F.max("score").alias("score")) if len(query.clauses) > 1 else out
+    if len(query.clauses) == 1 and combine is None:
+        return out
+    # as many as the shape has disjuncts
+    best = F.max("score") if combine is None else combine(F.sort_array(F.collect_list("score")))
+    return out.groupBy("query_id", "entity_id").agg(best.alias("score"))
 
 
 def multi_hot_loss(scored: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.graph import kept, numbered
+
 
 def from_arrays(rows: DataFrame, row: str, array: str) -> DataFrame:
     """row_index, pos (place in the row), value; empty rows vanish."""
@@ -32,9 +34,36 @@ def valid(m: DataFrame) -> DataFrame:
 
 
 def offsets(m: DataFrame) -> DataFrame:
-    """row_index, offset: values in the rows before. Rows' counts are summed up, not the values."""
+    """row_index, offset: values in the rows before. Rows' counts are summed up range by range, and to each
+    range is added what the ranges before it hold."""
     per = m.groupBy("row_index").agg(F.count("*").alias("n"))
-    return per.select("row_index", (F.sum("n").over(Window.orderBy("row_index")) - F.col("n")).alias("offset"))
+    ranged = kept(per.repartitionByRange("row_index").withColumn("part", F.spark_partition_id()))
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("total"))
+    before = totals.alias("a").join(totals.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.total"), F.lit(0)).alias("before"))  # one row a range
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("row_index")) - F.col("n")
+    return ranged.withColumn("within", within).join(F.broadcast(before), "part").select("row_index", (F.col("within") + F.col("before")).alias("offset"))
+
+
+def row(m: DataFrame, index: int) -> DataFrame:
+    """pos, value of one row."""
+    return m.filter(F.col("row_index") == index).select("pos", "value")
+
+
+def at_places(m: DataFrame, places: DataFrame) -> DataFrame:
+    """place, row_index, value of places(place): the values at these places of the whole matrix, which are
+    counted from 0 through its rows; a place that is asked for twice comes twice."""
+    of_row = m.join(offsets(m), "row_index")
+    w = Window.partitionBy("row_index").orderBy("pos")
+    counted = of_row.withColumn("place", F.col("offset") + F.row_number().over(w) - 1)
+    return places.select("place").join(counted, "place").select("place", "row_index", "value")
+
+
+def samples(rows: DataFrame, entities: str) -> DataFrame:
+    """row_index, pos, value of samples of entities: a row's number is one sample of one entity, a row's
+    array is one sample of several. Rows are numbered in the order of their column row."""
+    kind = rows.schema[entities].dataType.typeName()
+    values = F.col(entities) if kind == "array" else F.array(entities)
+    return from_arrays(numbered(rows.select("row", values.alias("values")), "row", name="row_index"), "row_index", "values")
 
 
 def place(m: DataFrame, descending: bool = False) -> DataFrame:
@@ -50,9 +79,9 @@ def first_of_runs(m: DataFrame) -> DataFrame:
 
 
 def repeats(m: DataFrame) -> DataFrame:
-    """Of values that a row has more than once all but the first."""
-    w = Window.partitionBy("row_index", "value").orderBy("pos")
-    return m.withColumn("k", F.row_number().over(w)).filter("k > 1").drop("k")
+    """The values that equal the one before in their row: what first_of_runs leaves out."""
+    w = Window.partitionBy("row_index").orderBy("pos")
+    return m.withColumn("prev", F.lag("value").over(w)).filter(F.col("prev") == F.col("value")).drop("prev")
 
 
 def row_product(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -85,9 +114,8 @@ def appended(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def dense_ids(m: DataFrame, *columns: str, name: str = "id") -> DataFrame:
     """m with the rank of the columns' values among the distinct ones, from 0. The distinct values are
-    ranked by themselves and joined back."""
-    distinct = m.select(*columns).distinct()
-    return m.join(distinct.withColumn(name, F.row_number().over(Window.orderBy(*columns)) - 1), list(columns))
+    numbered by themselves, range by range, and joined back."""
+    return m.join(numbered(m.select(*columns).distinct(), *columns, name=name), list(columns))
 
 
 def aggregated(m: DataFrame, score: str, reduce: str = "sum") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.predictors import ConvE, Predictor
 
-#: Entities up to which their vectors are broadcast as one matrix (64 doubles each: 100 MB).
-BROADCAST_ENTITIES = 200_000
+#: Rows of a block of vectors: a product of two blocks of 64 doubles takes 2 MB in and 32 MB between.
+BLOCK = 2048
 
 
 def constraint_scores(rows: DataFrame, entities: DataFrame, relations: DataFrame, p: Predictor) -> DataFrame:
@@ -35,31 +35,47 @@ def rankings(queries: DataFrame, entities: DataFrame, p: float = 2) -> DataFrame
     return scored.select("query_id", "entity_id", "score", (F.row_number().over(w) - 1).alias("rank"))
 
 
-def matrix(entities: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors in id order, for a number of entities that is checked first."""
-    n = entities.count()
-    if n > BROADCAST_ENTITIES:
-        raise ValueError(f"{n} entities; use the column expressions beyond {BROADCAST_ENTITIES}")
-    rows = entities.orderBy("id").collect()  # bounded above
-    return np.array([r["id"] for r in rows], np.int64), np.array([r["emb"] for r in rows], float)
+def blocks(rows: DataFrame, columns: list[str], size: int, prefix: str) -> DataFrame:
+    """Rows of numbers and of vectors (column emb last) packed into matrices of `size` rows at most, as bytes:
+    one row a block. Nothing moves between partitions."""
+    names = [f"{prefix}{c}" for c in [*columns, "emb"]]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), size):
+                part = b.iloc[i : i + size]
+                yield pd.DataFrame({n: [np.stack(part[c].to_numpy()).tobytes()] for n, c in zip(names, [*columns, "emb"])})
+
+    return rows.select(*columns, "emb").mapInPandas(run, ", ".join(f"{n} binary" for n in names))
 
-def top_tails(rows: DataFrame, entities: DataFrame, k: int) -> DataFrame:
+
+def top_tails(rows: DataFrame, entities: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
     """rows(query_id, emb: an estimated tail): query_id, entity_id, score, rank of the k entities with
-    the largest products. One matrix product per Arrow batch; only k rows a query leave the worker."""
-    shared = rows.sparkSession.sparkContext.broadcast(matrix(entities))
+    the largest products. Blocks of queries meet blocks of entities, whatever the number of either; only the k
+    best of each block leave the worker. Ties go to the smaller id."""
+    q = blocks(rows.select(F.col("query_id").cast("long"), F.col("emb").cast("array<double>")), ["query_id"], size, "q_")
+    e = blocks(entities.select(F.col("id").cast("long"), F.col("emb").cast("array<double>")), ["id"], size, "e_")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, e = shared.value
-        m = min(k, len(ids))
         for b in batches:
-            for i in range(0, len(b), 512):
-                part = b.iloc[i : i + 512]
-                s = np.round(np.stack(part["emb"].to_numpy()) @ e.T, 6)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :m]
-                yield pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), m), "entity_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel(), "rank": np.tile(np.arange(m), len(part))})
-
-    return rows.select("query_id", "emb").mapInPandas(run, "query_id long, entity_id long, score double, rank long")
+            for q_id, q_emb, e_id, e_emb in zip(b["q_query_id"], b["q_emb"], b["e_id"], b["e_emb"]):
+                queries, ids = np.frombuffer(q_id, np.int64), np.frombuffer(e_id, np.int64)
+                by_id = np.argsort(ids, kind="stable")
+                s = np.round(np.frombuffer(q_emb).reshape(len(queries), -1) @ np.frombuffer(e_emb).reshape(len(ids), -1)[by_id].T, 6)
+                m = min(k, len(ids))
+                # all that reach the k-th largest score, then the first k of them by score and id
+                least = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
+                row, col = np.nonzero(s >= least)
+                order = np.lexsort((col, -s[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < m], col[place < m]
+                yield pd.DataFrame({"query_id": queries[row], "entity_id": ids[by_id][col], "score": s[row, col]})
+
+    # the product of blocks, of a stated set of queries, is what is asked for
+    best = q.crossJoin(e).mapInPandas(run, "query_id long, entity_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
+    return best.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k)
 
 
 def conve_scores(rows: DataFrame, model: ConvE) -> DataFrame:

@@ -4,13 +4,23 @@ Instances are rows (query_id and a column per relation and constant name), so on
 number of instances of a shape. Positive atoms are joined from the constants outwards; columns that no
 later atom needs are dropped with their duplicates at once. Negated atoms are anti joins after the
 positive ones; variables that only they have range over the entities.
+
+Triples may be a table, or a function from relation ids to a table: then each atom reads only the relations
+that the instances give it, however the graph is stored.
 """
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import CONSTANT, Atom, Clause, Query, kind_of
 
 
+Triples = DataFrame | Callable[[list[int]], DataFrame]
+#: Different ids of one relation name that are read one by one; beyond it the whole graph is.
+RELATIONS = 1000
+
+
 def _order(positive: tuple[Atom, ...]) -> list[Atom]:
     """An atom with the most bound ends is next; ties keep the order of writing."""
     left, bound, out = list(positive), set(), []
@@ -40,9 +50,17 @@ def _matched(rows: DataFrame, triples: DataFrame, a: Atom, how: str) -> DataFram
     return out
 
 
-def clause_rows(clause: Clause, free: list[str], instances: DataFrame, triples: DataFrame, entities: DataFrame) -> DataFrame:
+def relation_ids(query: Query, instances: DataFrame) -> dict[str, list[int]]:
+    """The ids that the instances bind to each relation name; names with more than RELATIONS are left out."""
+    names = list(dict.fromkeys(a.relation for c in query.clauses for a in c.positive + c.negative))
+    found = instances.agg(*(F.slice(F.collect_set(n), 1, RELATIONS + 1).alias(n) for n in names)).first()  # as many as a graph has relations
+    return {n: sorted(found[n]) for n in names if len(found[n]) <= RELATIONS}
+
+
+def clause_rows(clause: Clause, free: list[str], instances: DataFrame, triples: Triples, entities: DataFrame, relations: dict[str, list[int]] | None = None) -> DataFrame:
     """query_id and the free variables, distinct."""
     rows = instances
+    of = lambda a: triples if isinstance(triples, DataFrame) else triples((relations or {}).get(a.relation))
     todo = [(a, "inner") for a in _order(clause.positive)] + [(a, "left_anti") for a in clause.negative]
     for k, (a, how) in enumerate(todo):
         if how == "left_anti":
@@ -51,7 +69,7 @@ def clause_rows(clause: Clause, free: list[str], instances: DataFrame, triples:
                     rows = rows.crossJoin(entities.select(F.col("id").alias(x)))  # unsafe variable: ranges over all entities
         later = {x for b, _ in todo[k + 1 :] for x in (b.relation, b.head, b.tail)} | set(free) | {"query_id"}
         ends_here = how == "inner" and all(x in rows.columns or x not in later for x in (a.head, a.tail))
-        rows = _matched(rows, triples, a, "left_semi" if ends_here else how)
+        rows = _matched(rows, of(a), a, "left_semi" if ends_here else how)
         keep = [c for c in rows.columns if c in later]
         if len(keep) < len(rows.columns):
             rows = rows.select(*keep).distinct()
@@ -63,9 +81,12 @@ def clause_rows(clause: Clause, free: list[str], instances: DataFrame, triples:
     return rows.select("query_id", *free).distinct()
 
 
-def answers(query: Query, instances: DataFrame, triples: DataFrame, entities: DataFrame) -> DataFrame:
+def answers(query: Query, instances: DataFrame, triples: Triples, entities: DataFrame, relations: dict[str, list[int]] | None = None) -> DataFrame:
     """query_id and one column per free variable, distinct over the disjuncts. Of a sentence: the ids of
-    the instances for which it holds."""
+    the instances for which it holds. relations: the ids that the instances bind to each relation name,
+    for triples that are a function; they are looked up where they aren't given."""
+    if relations is None and not isinstance(triples, DataFrame):
+        relations = relation_ids(query, instances)
     missing = [n for n in query.names if n not in instances.columns]
     if missing:
         raise ValueError(f"instances bind no {missing}")
@@ -73,7 +94,7 @@ def answers(query: Query, instances: DataFrame, triples: DataFrame, entities: Da
     out = None
     for c in query.clauses:
         names = dict.fromkeys(x for a in c.positive + c.negative for x in (a.relation, a.head, a.tail) if x in query.names)
-        part = clause_rows(c, free, instances.select("query_id", *names), triples, entities)
+        part = clause_rows(c, free, instances.select("query_id", *names), triples, entities, relations)
         out = part if out is None else out.unionByName(part)
     return out.distinct() if len(query.clauses) > 1 else out
 

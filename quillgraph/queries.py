@@ -11,6 +11,7 @@ from .functions import predictors, tnorm
 from .functions.predictors import Predictor
 from .operators import beam, graphalgo, message, metric, ragged, scoring, store
 from .plans import exact, language
+from .plans.language import CONSTANT, kind_of
 from .sources import graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,19 @@ def _(s, d):
     return graph.encode_names(table(s, d, "part"), "p_name")
 
 
+@query(
+    "index_registered",
+    """WITH held AS (SELECT n_name AS name, n_nationkey::BIGINT AS id FROM nation), given AS (SELECT r_name AS name, min(100000 + r_regionkey) AS id FROM region WHERE r_name NOT IN (SELECT name FROM held) GROUP BY r_name),
+    new AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_brand NOT IN (SELECT name FROM held)), n AS (SELECT (SELECT count(*) FROM held) + (SELECT count(*) FROM given) AS n)
+    SELECT name, id FROM held UNION ALL SELECT name, id FROM given UNION ALL SELECT name, n + row_number() OVER (ORDER BY name) - 1 FROM new, n""",
+)
+def _(s, d):
+    held = table(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("id"))
+    given = table(s, d, "region").select(F.col("r_name").alias("name"), (F.lit(100000).cast("long") + F.col("r_regionkey")).alias("id"))
+    new = table(s, d, "part").select(F.col("p_brand").alias("name"), F.lit(None).cast("long").alias("id"))
+    return graph.registered(held, given.unionByName(new).unionByName(held.select("name", (F.col("id") + 7).alias("id"))))
+
+
 @query("index_id_names", "SELECT id // 2 AS id, name FROM (SELECT n_nationkey AS id, n_name AS name FROM nation) WHERE id % 2 = 0")
 def _(s, d):
     names = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
@@ -111,9 +125,12 @@ def exact_query(name: str) -> None:
     on_star = name in STAR_INSTANCES
     rows = STAR_INSTANCES[name] if on_star else [{k: x[k] for k in q.names} for x in VECTOR_INSTANCES]
 
+    relations = {n: sorted({x[n] for x in rows}) for n in q.names if n.startswith("r")}
+
     def run(s: SparkSession, d: str) -> DataFrame:
-        kg = graph.star(s, d) if on_star else graph.with_inverse(graph.vector_graph(s, d))
-        return exact.answers(q, graph.binding_rows(s, rows), kg, graph.entity_ids(kg)).withColumnRenamed("f", "entity_id")
+        # answers are distinct anyway, so the triples of an atom needn't be
+        of = (lambda ids: graph.star(s, d, ids, distinct=False)) if on_star else (lambda ids: graph.vector_graph(s, d, ids, both=True, distinct=False))
+        return exact.answers(q, graph.binding_rows(s, rows), of, graph.entity_ids(of(None)), relations).withColumnRenamed("f", "entity_id")
 
     query("shape_" + name.replace("-", "_"), sql.exact(text, sql.star() if on_star else sql.VECTOR_BOTH, rows))(run)
 
@@ -192,7 +209,7 @@ MODELS: dict[str, tuple[Predictor, str, str]] = {
     "rescal": (predictors.rescal(8), _MT, "list_sum([x[i] * t[i] for i in range(1, 9)])"),
     "swtranse": (
         predictors.swtranse(8, 8),
-        f"[h[i] + r[i] for i in {_N}]",
+        f"[h[i] + r[(i - 1) // 8 + 1] for i in {_N}]",
         f"-list_sum([sqrt(list_sum([({_SORTED.format('x[q * 8 + k]')}[m] - {_SORTED.format('t[q * 8 + k]')}[m]) ** 2 for m in range(1, 9)])) for q in range(0, 8)])",
     ),
 }
@@ -258,8 +275,7 @@ query("top_tails_arrow", _TOP)(lambda s, d: scoring.top_tails(graph.vectors(s, d
 
 @query("score_conve")
 def _(s, d):
-    cut = lambda c: F.concat(F.array(F.lit(1.0)), F.slice(c, 2, 49)).alias(c)
-    return scoring.conve_scores(_embedded(s, d).select("h", "r", "t", *(cut(f"e{k}") for k in "hrt")), predictors.ConvE.seeded(50)).withColumn("score", F.round("score", 6))
+    return scoring.conve_scores(_embedded(s, d).select("h", "r", "t", "eh", "er", "et"), predictors.ConvE.seeded(64, aspect=7)).withColumn("score", F.round("score", 6))
 
 
 # --- beam search -----------------------------------------------------------------------------------
@@ -288,19 +304,7 @@ def _cut(rows: str) -> str:
     return f"SELECT query_id, entity_id AS src, score AS y FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS n FROM ({rows})) WHERE n <= {BEAM}"
 
 
-_P1, _P2N = _score_sql(_from("s1"), 0), _score_sql(_from("s2"), 2, "-")
-_E1 = _cut(_sum(_P1))
-BEAM_SQL = {
-    "1p": _sum(_P1),
-    "2p": _sum(_score_sql(_E1, 2)),
-    "2i": _sum(_P1, _score_sql(_from("s2"), 2)),
-    "2in": _sum(_P1, _P2N),
-    "2m": _sum(_score_sql(_E1, 2), _score_sql(_E1, 4)),
-    "ip": _sum(_score_sql(_cut(_sum(_P1, _score_sql(_from("s2"), 2))), 4)),
-    "2u": f"SELECT query_id, entity_id, max(score) AS score FROM ({_sum(_P1)} UNION ALL {_sum(_score_sql(_from('s2'), 2))}) GROUP BY query_id, entity_id",
-}
-
-
+_P1 = _score_sql(_from("s1"), 0)
 def _beam_query(name: str) -> None:
     q = language.Query.read(language.CATALOGUE[name])
 
@@ -308,13 +312,40 @@ def _beam_query(name: str) -> None:
         v = graph.vectors(s, d)
         return beam.scores(q, graph.binding_rows(s, _beam_instances(q)), v, v, COMPLEX, BEAM)
 
-    oracle = BEAM_SQL.get(name)
-    query("beam_" + name.replace("-", "_"), oracle and f"WITH v AS MATERIALIZED (SELECT * FROM {sql.VECTORS}) {oracle}")(run)
+    def part(clause: list) -> str:
+        made: dict[str, str] = {}
+
+        def source(term: str) -> str:
+            """query_id, src, y: a constant, the best of a variable, or all entities where nothing leads to it."""
+            if kind_of(term) == CONSTANT:
+                return _from(term)
+            if term not in made:
+                made[term] = _cut(scored(term)) if steps[term] else f"SELECT i AS query_id, id AS src, 1.0::DOUBLE AS y FROM range({len(VECTOR_INSTANCES)}) t(i), v"
+            return made[term]
+
+        def scored(term: str) -> str:
+            return _sum(*(_score_sql(source(src), VECTOR_INSTANCES[0][name] ^ inverse, "-" if neg else "") for src, name, inverse, neg in steps[term]))
+
+        steps = sql.beam_steps(clause)
+        return scored("f")
 
+    parts = [part(c) for c in language.clauses(language.parse(language.CATALOGUE[name]))]
+    oracle = parts[0] if len(parts) == 1 else f"SELECT query_id, entity_id, max(score) AS score FROM ({' UNION ALL '.join(f'({x})' for x in parts)}) GROUP BY query_id, entity_id"
+    query("beam_" + name.replace("-", "_"), f"WITH v AS MATERIALIZED (SELECT * FROM {sql.VECTORS}) {oracle}")(run)
 
-for _name in ("1p", "2p", "3p", "2i", "3i", "ip", "pi", "2in", "3in", "inp", "pin", "pni", "2u", "up", "2m", "2nm", "3c"):
+
+for _name in language.CATALOGUE:
     _beam_query(_name)
 
+
+@query("beam_2u_tconorm", f"""WITH v AS MATERIALIZED (SELECT * FROM {sql.VECTORS}) SELECT query_id, entity_id, round(1 - (1 - a) * (1 - b), 6) AS score
+    FROM (SELECT query_id, entity_id, 1 / (1 + exp(-score)) AS a FROM ({_sum(_P1)})) JOIN (SELECT query_id, entity_id, 1 / (1 + exp(-score)) AS b FROM ({_sum(_score_sql(_from('s2'), 2))})) USING (query_id, entity_id)""")
+def _(s, d):
+    q, v = language.Query.read(language.CATALOGUE["2u"]), graph.vectors(s, d)
+    either = beam.t_conorm(tnorm.get("product"))
+    return beam.scores(q, graph.binding_rows(s, _beam_instances(q)), v, v, COMPLEX, BEAM, either).withColumn("score", F.round("score", 6))
+
+
 # --- message passing -------------------------------------------------------------------------------
 
 SHARED = [0.1] * 64
@@ -355,11 +386,10 @@ def _(s, d):
     return message.scores(*_shape(s), v, v, COMPLEX, SHARED, _LM.num_variables, lambda x: message.layered_update(x, layers)).withColumn("score", F.round("score", 6))
 
 
-@query("cosine_all", f"SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.emb, b.emb), 6) AS score FROM {sql.VECTORS} a, {sql.VECTORS} b WHERE a.id < 20")
+@query("cosine_all", f"SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.emb, b.emb), 6) AS score FROM {sql.VECTORS} a, {sql.VECTORS} b WHERE a.id % 100 = 0")
 def _(s, d):
     v = graph.vectors(s, d)
-    both = v.filter("id < 20").select(F.col("id").alias("a"), F.col("emb").alias("ea")).crossJoin(v.select(F.col("id").alias("b"), F.col("emb").alias("eb")))
-    return both.select("a", "b", F.round(predictors.cosine(F.col("ea"), F.col("eb")), 6).alias("score"))
+    return message.cosines(v.filter("id % 100 = 0").select(F.col("id").alias("a"), "emb"), v.select(F.col("id").alias("b"), "emb")).select("a", "b", F.round("score", 6).alias("score"))
 
 
 # --- losses and metrics ----------------------------------------------------------------------------
@@ -390,7 +420,7 @@ def _(s, d):
     return beam.multi_hot_loss(rows).select(F.round("loss", 6).alias("loss"))
 
 
-_METRIC = f"""WITH v AS MATERIALIZED (SELECT * FROM {sql.VECTORS}), s AS ({BEAM_SQL['1p']}),
+_METRIC = f"""WITH v AS MATERIALIZED (SELECT * FROM {sql.VECTORS}), s AS ({_sum(_P1)}),
 a AS (SELECT DISTINCT q AS query_id, t AS entity_id, t % 2 = 0 AS hard FROM {sql.VECTOR}, (VALUES (0, 1), (1, 5), (2, 9)) x(q, s1) WHERE h = s1 AND r = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) - 1 AS raw FROM s),
 f AS (SELECT query_id, entity_id, hard, raw - (row_number() OVER (PARTITION BY query_id ORDER BY raw) - 1) AS rank FROM k JOIN a USING (query_id, entity_id))
@@ -428,7 +458,10 @@ RAGGED: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "sorted": (ragged.place, f"SELECT row_index, row_number() OVER (PARTITION BY row_index ORDER BY value) - 1 AS pos, value FROM {_M}"),
     "sorted_desc": (lambda m: ragged.place(m, True), f"SELECT row_index, row_number() OVER (PARTITION BY row_index ORDER BY value DESC) - 1 AS pos, value FROM {_M}"),
     "first_of_runs": (ragged.first_of_runs, f"SELECT row_index, pos, value FROM (SELECT *, lag(value) OVER (PARTITION BY row_index ORDER BY pos) AS p FROM {_M}) WHERE p IS DISTINCT FROM value"),
-    "repeats": (ragged.repeats, f"SELECT row_index, pos, value FROM (SELECT *, row_number() OVER (PARTITION BY row_index, value ORDER BY pos) AS k FROM {_M}) WHERE k > 1"),
+    "repeats": (ragged.repeats, f"SELECT row_index, pos, value FROM (SELECT *, lag(value) OVER (PARTITION BY row_index ORDER BY pos) AS p FROM {_M}) WHERE p = value"),
+    "row": (lambda m: ragged.row(m, 7), f"SELECT pos, value FROM {_M} WHERE row_index = 7"),
+    "at_places": (lambda m: ragged.at_places(m, m.select((F.col("row_index") * 3).alias("place")).distinct()), f"SELECT place, row_index, value FROM (SELECT *, row_number() OVER (ORDER BY row_index, pos) - 1 AS place FROM {_M}) WHERE place IN (SELECT row_index * 3 FROM {_M})"),
+    "samples": (lambda m: ragged.samples(ragged.to_arrays(m).withColumnRenamed("row_index", "row"), "values"), f"SELECT dense_rank() OVER (ORDER BY row_index) - 1 AS row_index, pos, value FROM {_M}"),
     "product": (lambda m: ragged.row_product(m, m.filter("pos < 2")), f"SELECT a.row_index, a.value AS \"left\", b.value AS \"right\" FROM {_M} a JOIN {_M} b ON a.row_index = b.row_index AND b.pos < 2"),
     "expanded": (lambda m: ragged.expanded(m.filter("pos = 0"), m), f"SELECT a.row_index, b.pos, a.value FROM {_M} a JOIN {_M} b ON a.row_index = b.row_index AND a.pos = 0"),
     "top": (lambda m: ragged.top(ragged.place(m), 2), f"SELECT * FROM (SELECT row_index, row_number() OVER (PARTITION BY row_index ORDER BY value) - 1 AS pos, value FROM {_M}) WHERE pos < 2"),
@@ -447,6 +480,9 @@ for _name, (_f, _sql) in RAGGED.items():
 
 # --- graph algorithms ------------------------------------------------------------------------------
 
+#: Rounds of the walk that the query asks for.
+WALK_ROUNDS = 6
+
 _EDGES = f"(SELECT DISTINCT h AS src, t AS dst FROM {sql.star()} WHERE r IN (3, 1, 4))"
 
 
@@ -462,6 +498,37 @@ query("hop_forward", f"SELECT DISTINCT dst AS node FROM {_EDGES} WHERE src = {_R
 query("hop_backward", f"SELECT DISTINCT src AS node FROM {_EDGES} WHERE dst = {_NATION(0)}")(lambda s, d: graphalgo.one_hop(_edges(s, d), s.range(1).select(F.lit(_NATION(0)).cast("long").alias("node")), "backward"))
 _BFS = f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_EDGES}), w AS (SELECT {_REGION(0)}::BIGINT AS node, 0 AS level UNION SELECT e.dst, level + 1 FROM w JOIN e ON e.src = w.node WHERE level < 8) SELECT node, min(level) AS level FROM w GROUP BY node"
 query("bfs", _BFS)(lambda s, d: graphalgo.bfs(_edges(s, d), _region0(s)))
+_WALK = f"(SELECT row_number() OVER (ORDER BY h, t) AS pos, h AS src, t AS dst FROM {sql.VECTOR} WHERE r = 0)"
+
+
+def _walk_sql(rounds: int) -> str:
+    """The walk, round by round."""
+    out = [f"WITH e0 AS MATERIALIZED {_WALK}, v0 AS (SELECT DISTINCT src AS node FROM e0 WHERE src < 3), l0 AS (SELECT node, 0 AS level FROM v0)"]
+    for k in range(1, rounds + 1):
+        out.append(f"o{k} AS MATERIALIZED (SELECT * FROM e{k - 1} WHERE src IN (SELECT node FROM v{k - 1}) AND EXISTS (SELECT 1 FROM e0 WHERE src NOT IN (SELECT node FROM v{k - 1}) OR dst NOT IN (SELECT node FROM v{k - 1}))), t{k} AS MATERIALIZED (SELECT DISTINCT arg_min(dst, pos) AS node FROM o{k} GROUP BY src)")
+        out.append(f"v{k} AS MATERIALIZED (SELECT node FROM v{k - 1} UNION SELECT node FROM t{k}), e{k} AS MATERIALIZED (SELECT * FROM e{k - 1} WHERE pos NOT IN (SELECT pos FROM o{k} WHERE dst IN (SELECT node FROM t{k})))")
+        out.append(f"l{k} AS (SELECT node, {k} AS level FROM t{k})")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(rounds + 1)).join(("SELECT * FROM (", ")"))
+
+
+@query("expansion", _walk_sql(WALK_ROUNDS))
+def _(s, d):
+    e = graph.vector_graph(s, d, [0]).select(F.col("h").alias("src"), F.col("t").alias("dst"))
+    e = graph.numbered(e, "src", "dst", name="pos", start=1)
+    return graphalgo.expansion_levels(e, e.filter("src < 3").select(F.col("src").alias("node")).distinct(), WALK_ROUNDS)
+
+
+_DAG = f"(SELECT DISTINCT least(h, t) AS src, greatest(h, t) AS dst FROM {sql.VECTOR} WHERE h <> t AND h < 40 AND t < 40)"
+
+
+@query("topological_dag", f"WITH RECURSIVE e AS MATERIALIZED {_DAG}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), w AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT dst FROM e) UNION SELECT e.dst, level + 1 FROM w JOIN e ON e.src = w.node) SELECT node, max(level) AS level FROM w GROUP BY node")
+def _(s, d):
+    kg = graph.vector_graph(s, d).filter("h <> t and h < 40 and t < 40")
+    e = kg.select(F.least("h", "t").alias("src"), F.greatest("h", "t").alias("dst")).distinct()
+    roots = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti")
+    return graphalgo.topological_levels(e, roots)
+
+
 query("topological", f"WITH e AS (SELECT * FROM {_EDGES}) SELECT DISTINCT * FROM (SELECT 1000000000 + r_regionkey AS node, 0 AS level FROM region UNION ALL SELECT 2000000000 + n_nationkey, 1 FROM nation UNION ALL SELECT 3000000000 + c_custkey, 2 FROM customer UNION ALL SELECT e.dst, 3 FROM e JOIN customer ON e.src = 3000000000 + c_custkey)")(
     lambda s, d: graphalgo.topological_levels(_edges(s, d), table(s, d, "region").select((F.lit(10**9).cast("long") + F.col("r_regionkey")).alias("node")))
 )

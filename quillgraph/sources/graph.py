@@ -9,16 +9,18 @@ from ..plans.language import canonical
 TRIPLE = "h long, r long, t long"
 
 
-def read_triples(spark: SparkSession, paths: str | list[str], check: bool = True) -> DataFrame:
-    """h, r, t from text lines of three integers, separated by any white space. With check, a line of
-    another number of fields raises when it is read; without, such lines are left out."""
+def read_triples(spark: SparkSession, paths: str | list[str], check: bool = True, to_int: bool = True, size: int = 3) -> DataFrame:
+    """h, r, t from text lines of three fields, separated by any white space; lines of another size give
+    f0, f1 and so on. Fields are integers, or strings without to_int. With check, a line of another number
+    of fields raises when it is read; without, such lines are left out."""
     if not isinstance(paths, (str, list)):
         raise NotImplementedError(type(paths))
     f = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(paths).select(f.alias("f"))
-    whole = F.size("f") == 3
-    rows = rows.filter(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("a line without three fields")).cast("boolean"))) if check else rows.filter(whole)
-    return rows.select(*(F.get("f", F.lit(i)).cast("long").alias(c) for i, c in enumerate("hrt")))
+    whole = F.size("f") == size
+    rows = rows.filter(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit(f"a line without {size} fields")).cast("boolean"))) if check else rows.filter(whole)
+    names = list("hrt") if size == 3 else [f"f{i}" for i in range(size)]
+    return rows.select(*(F.get("f", F.lit(i)).cast("long" if to_int else "string").alias(c) for i, c in enumerate(names)))
 
 
 def checked(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -34,12 +36,63 @@ def checked(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> Da
 def encode_names(names: DataFrame, name: str = "name") -> DataFrame:
     """name, id: each distinct name's place in the order of names. Ranges are numbered side by side:
     the number of names in the ranges before is added to the place within a range."""
-    distinct = names.select(F.col(name).alias("name")).distinct()
-    ranged = distinct.repartitionByRange("name").sortWithinPartitions("name").withColumn("raw", F.monotonically_increasing_id())
-    part = F.shiftright("raw", 33)
-    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # one row a partition
-    return ranged.withColumn("part", part).join(F.broadcast(before), "part").select("name", (F.col("raw").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")).alias("id"))
+    return numbered(names.select(F.col(name).alias("name")).distinct(), "name")
+
+
+def numbered(rows: DataFrame, *by: str, name: str = "id", start: int = 0) -> DataFrame:
+    """rows with their place in the order of the columns, from start on. Ranges are written out before they
+    are counted, so that both readers see the same ones, and are numbered side by side."""
+    part, raw = "__part", "__raw"
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(raw, F.monotonically_increasing_id())
+    ranged = ranged.withColumn(part, F.shiftright(raw, 33)).withColumn(raw, F.col(raw).bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = kept(ranged)
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col(f"b.{part}") < F.col(f"a.{part}"), "left").groupBy(f"a.{part}").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # one row a partition
+    return ranged.join(F.broadcast(before), part).withColumn(name, F.col(raw) + F.col("before") + start).drop(part, raw, "before")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written out once: what follows is cut off from its plan. The folder is the session's; one beside
+    the warehouse will do on one machine."""
+    session = df.sparkSession
+    if session.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        session.sparkContext.setCheckpointDir(shared_base(session))
+    return df.checkpoint()
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. On one machine a
+    folder beside the warehouse stands in; on a cluster there must be one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+    return base.rstrip("/")
+
+
+def empty_index(spark: SparkSession) -> DataFrame:
+    """name, id of an index without names."""
+    return spark.range(0).select(F.col("id").cast("string").alias("name"), "id")
+
+
+def registered(index: DataFrame, names: DataFrame) -> DataFrame:
+    """index(name, id) with the names of names(name, and id where one is given) that it lacks. A name that
+    it has keeps its id, whatever is asked for; new names without an id get the next numbers after the
+    index's size, in the order of names. ValueError where two names would share an id."""
+    new = names.select("name", F.col("id").cast("long") if "id" in names.columns else F.lit(None).cast("long").alias("id"))
+    new = new.filter("name is not null").groupBy("name").agg(F.min("id").alias("id")).join(index.select("name"), "name", "left_anti")
+    given = new.filter("id is not null").select("name", "id")
+    held = index.select("name", "id").unionByName(given)
+    out = held.unionByName(numbered(new.filter("id is null").select("name"), "name", start=held.count()).select("name", "id"))
+    if not out.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("two names share an id")
+    return out
+
+
+def sizes(entities: DataFrame, relations: DataFrame) -> tuple[int, int]:
+    """How many entities and relations an index has."""
+    return entities.count(), relations.count()
 
 
 def write_index(entities: DataFrame, relations: DataFrame, path: str) -> None:
@@ -111,25 +164,55 @@ def with_inverse(triples: DataFrame) -> DataFrame:
     return triples.select("h", "r", "t").unionByName(back)
 
 
-def star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """h, r, t of the star graph, inverses included."""
+def star(spark: SparkSession, sf_dir: str, relations: list[int] | None = None, distinct: bool = True) -> DataFrame:
+    """h, r, t of the star graph, inverses included. With relations only the tables of these are read, in
+    the directions that are asked for; without distinct a triple may come as often as its row."""
     out = None
     for r, name, (hk, hc), (tk, tc) in STAR:
-        end = lambda k, c: (F.lit(CODES[k] * 10**9).cast("long") + F.col(c).cast("long"))
-        part = _table(spark, sf_dir, name).select(end(hk, hc).alias("h"), F.lit(r).cast("long").alias("r"), end(tk, tc).alias("t"))
-        part = part.distinct() if name == "lineitem" else part
-        out = part if out is None else out.unionAll(part)
-    return with_inverse(out)
+        for way in (r, r ^ 1):
+            if relations is not None and way not in relations:
+                continue
+            end = lambda k, c: (F.lit(CODES[k] * 10**9).cast("long") + F.col(c).cast("long"))
+            h, t = (end(hk, hc), end(tk, tc)) if way == r else (end(tk, tc), end(hk, hc))
+            part = _table(spark, sf_dir, name).select(h.alias("h"), F.lit(way).cast("long").alias("r"), t.alias("t"))
+            part = part.distinct() if name == "lineitem" and distinct else part
+            out = part if out is None else out.unionAll(part)
+    return spark.range(0).select(*(F.col("id").alias(c) for c in "hrt")) if out is None else out
 
 
 def entity_ids(triples: DataFrame) -> DataFrame:
     return triples.select(F.explode(F.array("h", "t")).alias("id")).distinct()
 
 
-def vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """h, r, t of the graph over the embeddings, forward relations only."""
+def vector_graph(spark: SparkSession, sf_dir: str, relations: list[int] | None = None, both: bool = False, distinct: bool = True) -> DataFrame:
+    """h, r, t of the graph over the embeddings: forward relations, and the inverse ones with both. With
+    relations the table is filtered before anything is computed of it."""
     n = _table(spark, sf_dir, "embeddings").count()
-    return _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % n).alias("h"), (2 * (F.col("l_linenumber") - 1)).cast("long").alias("r"), (F.col("l_suppkey") % n).alias("t")).distinct()
+    out = None
+    for inverse in (0, 1) if both else (0,):
+        rows = _table(spark, sf_dir, "lineitem")
+        if relations is not None:
+            rows = rows.filter(F.col("l_linenumber").isin([r // 2 + 1 for r in relations if r % 2 == inverse]))
+        h, t = F.col("l_partkey") % n, F.col("l_suppkey") % n
+        part = rows.select((t if inverse else h).alias("h"), (2 * (F.col("l_linenumber") - 1) + inverse).cast("long").alias("r"), (h if inverse else t).alias("t"))
+        part = part.distinct() if distinct else part
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def write_graph(triples: DataFrame, path: str, files: int | None = None) -> None:
+    """Triples as Parquet, a folder a relation, in the order of heads: a reader of some relations opens
+    their folders only, and row groups far from a head are skipped. A large relation is dealt over files
+    by ranges of heads."""
+    ranged = triples.repartitionByRange(files, "r", "h") if files else triples.repartitionByRange("r", "h")
+    ranged.sortWithinPartitions("r", "h", "t").write.partitionBy("r").parquet(path)
+
+
+def read_graph(spark: SparkSession, path: str, relations: list[int] | None = None) -> DataFrame:
+    """h, r, t of a graph that write_graph wrote."""
+    rows = spark.read.schema("h long, t long, r long").parquet(path)
+    rows = rows if relations is None else rows.filter(F.col("r").isin(list(relations)))
+    return rows.select("h", "r", "t")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

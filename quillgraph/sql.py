@@ -41,3 +41,22 @@ def exact(text: str, graph: str, instances: list[dict[str, int]]) -> str:
             tables = ", ".join(f"kg k{i}" for i in range(len(positive)))
             parts.append(f"SELECT {q}::BIGINT AS query_id, {place['f']} AS entity_id FROM {tables} WHERE {' AND '.join(where)}")
     return f"WITH kg AS MATERIALIZED (SELECT * FROM {graph}) {' UNION '.join(f'(SELECT DISTINCT * FROM ({p}))' for p in parts)}"
+
+
+def beam_steps(clause: list) -> dict[str, list[tuple[str, str, int, bool]]]:
+    """Variable: (source, relation name, 1 for the inverse, negated) of the atoms that lead to it. Distances
+    from f count steps between variables; an atom leads from the farther end, or a constant, to the nearer."""
+    atoms = [(x, False) if isinstance(x, Atom) else (x.part, True) for x in sorted(clause, key=lambda x: isinstance(x, Not))]
+    far, todo = {"f": 0}, ["f"]
+    for v in todo:
+        for a, _ in atoms:
+            for x, y in ((a.head, a.tail), (a.tail, a.head)):
+                if x == v and kind_of(y) != CONSTANT and y not in far:
+                    far[y] = far[v] + 1
+                    todo.append(y)
+    out: dict[str, list] = {v: [] for v in far}
+    for a, neg in atoms:
+        for src, dst, inverse in ((a.head, a.tail, 0), (a.tail, a.head, 1)):
+            if dst in far and (kind_of(src) == CONSTANT or far.get(src, -1) > far[dst]):
+                out[dst].append((src, a.relation, inverse, neg))
+    return out
