@@ -19,8 +19,8 @@ registers of a union are the maxima, and two sets agree in a register with about
    others, so the many copies of a page whose edits are all their own drop out one by one, before any two
    meet. The others meet in cells of CELL by CELL members, so that no task gets a large bucket whole;
    pairs that the bound lets through, also where it is taken for each of PARTS parts of the sets by
-   itself, are estimated and verified. A bucket takes at most (members that may be the smaller) times
-   (members) comparisons of counts.
+   itself, are estimated and verified. A bucket takes at most (members outside its largest
+   component) times (members) comparisons of counts, and only such as have a set that may be the smaller.
 
 So components are those of all candidate pairs, and hardly any pair below the threshold is tested on full
 sets. Elements are hashes of 64 bits: two sets of a million elements that share none seem to share one in
@@ -347,22 +347,30 @@ def with_centre(rows: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
 def left_over(rows: DataFrame, centres: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a bucket that are in different components and weren't tested with its least
     node or its centre. Of a pair, x has the smaller set (or, of equal ones, the smaller node); with
-    nx <= ny, possible() asks for 2 * percent * nx <= (100 + percent) * cx. Nodes that share several
-    buckets meet in the one of the first band in which their registers agree."""
+    nx <= ny, possible() asks for 2 * percent * nx <= (100 + percent) * cx. Members of the largest component
+    are met by the others only. Nodes that share several buckets meet in the one of the first band in which
+    their registers agree."""
     some = rows.join(centres, "key").filter("node <> leader and node <> centre").filter(100 * F.col("c") >= percent * F.col("n"))
-    some = some.withColumn("smaller", (100 + percent) * F.col("c") >= 2 * percent * F.col("n"))
-    cells = some.groupBy("key").agg(F.ceil(F.count_if("smaller") / CELL).cast("int").alias("across"), F.ceil(F.count("*") / CELL).cast("int").alias("down")).filter("across > 0")
-    some = some.join(cells, "key").join(nodes.select("node", "regs"), "node").join(parts, "node")
+    some = some.withColumn("smaller", (100 + percent) * F.col("c") >= 2 * percent * F.col("n")).withColumn("inner", F.col("comp") == F.col("main"))
+    cells = lambda n: F.ceil(n / CELL).cast("int")
+    counted = some.groupBy("key").agg(
+        F.count_if(~F.col("inner")).alias("outer"), cells(F.count_if(F.col("smaller") & ~F.col("inner"))).alias("xo"), cells(F.count_if(F.col("smaller") & F.col("inner"))).alias("xi"),
+        cells(F.count("*")).alias("ya"), cells(F.count_if(~F.col("inner"))).alias("yo"),
+    ).filter("outer > 0 and xo + xi > 0").drop("outer")
+    some = some.join(counted, "key").join(nodes.select("node", "regs"), "node").join(parts, "node")
     side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp{x}"), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("regs").alias(f"regs{x}"), F.col("parts").alias(f"parts{x}")]
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = some.filter("smaller").select("key", "band", *side("x"), own("across").alias("i"), every("down").alias("j"))
-    y = some.select("key", *side("y"), own("down").alias("j"), every("across").alias("i"))
+    x = lambda which, across, down: some.filter(which).filter(f"smaller and {across} > 0 and {down} > 0").select("key", "band", F.col("inner").alias("within"), *side("x"), own(across).alias("i"), every(down).alias("j"))
+    y = lambda which, across, down: some.filter(which).filter(f"{across} > 0 and {down} > 0").select("key", F.lit(across == "xi").alias("within"), *side("y"), own(down).alias("j"), every(across).alias("i"))
+    # x outside the largest component meets all, x inside it those outside
+    xs = x("not inner", "xo", "ya").unionByName(x("inner", "xi", "yo"))
+    ys = y("true", "xo", "ya").unionByName(y("not inner", "xi", "yo"))
     part = lambda regs, k: F.substring(regs, k * ROWS + 1, F.lit(ROWS))
     before = F.exists(F.slice(F.array(*map(F.lit, range(BANDS))), F.lit(1), F.col("band")), lambda k: part(F.col("regsx"), k) == part(F.col("regsy"), k))
     in_order = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
     wanted = (F.col("compx") != F.col("compy")) & in_order & possible("x", "y", percent) & ~before & possible_by_parts("x", "y", percent)
-    return x.join(y, ["key", "i", "j"]).filter(wanted).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return xs.join(ys, ["key", "within", "i", "j"]).filter(wanted).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
@@ -419,8 +427,9 @@ def _classed(docs: DataFrame, percent: int, text: str) -> tuple[DataFrame, DataF
         links = links.unionAll(more)
         comps = components(links)
     now = labelled(rest.drop("comp", "main"), comps)
-    open_keys = now.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("key")
-    more = stored(tested(left_over(now.join(open_keys, "key", "left_semi"), centres, nodes, common.select("node", "parts"), percent), known, percent))
+    per = now.groupBy("key", "comp").agg(F.count("*").alias("members"))
+    main = per.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("members", "comp")).getField("comp").alias("main")).filter("comps > 1").select("key", "main")
+    more = stored(tested(left_over(now.join(main, "key"), centres, nodes, common.select("node", "parts"), percent), known, percent))
     if not more.isEmpty():
         comps = components(links.unionAll(more))
     of_node = labelled(nodes.select("node", "digest", "first_id", "copies"), comps)
