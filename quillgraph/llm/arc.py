@@ -3,16 +3,20 @@ r"""Legacy ARC archives to WARC.
 An ARC file opens with a record whose body states the version and names the fields of the header lines:
 version 1 has five, version 2 ten. Each record is one header line, then as many bytes as its last field
 declares, then a line feed. to_warc() turns each record into a WARC/1.0 record with a synthesised
-identifier, date, type and digests.
+identifier, date, type and digests: a body that opens with an HTTP header is a response, whose payload is
+what follows the header; any other is a resource.
 
-pages_to_warc() takes a table of pages that way: rows become ARC bytes, the converter turns these into
-WARC records, Spark writes the archives into the shared folder, and read_warc() reads them again.
+convert_archives() does so with stored ARC files. write_pages() takes a table of pages that way: rows become
+ARC bytes, the converter turns these into WARC records, Spark writes the archives into the shared folder,
+and read_archives() reads them again.
 
 Defined cases: null html is an empty payload, a null url is "unknown:", and white space in a url is
 percent-encoded, since it separates an ARC header's fields. Of rows with equal payloads of `least` bytes
 or more, all that have the group's largest page_id are responses; a group of null page_ids is responses
-only. Repeated rows are archived each. Other columns are not read.
+only. Repeated rows are archived each. A very long payload makes its file longer than others. Other
+columns are not read; an empty table makes an empty archive.
 """
+import gzip
 import hashlib
 import re
 import uuid
@@ -33,8 +37,10 @@ FIELDS = {
 }
 #: Rows of the groups of equal payloads up to which they are broadcast; a row takes under 100 bytes.
 BROADCAST_GROUPS = 100_000
-#: Records of one archive file, so that a reader's memory is bounded.
-FILE_RECORDS = 1000
+#: Bytes of records that are written as one piece, and pieces of one archive file: a reader's memory is
+#: bounded by 64 MB and one record.
+PIECE_BYTES, FILE_PIECES = 4_000_000, 16
+HTTP = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n"
 
 
 @dataclass(frozen=True)
@@ -110,15 +116,22 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+def payload_of(body: bytes) -> bytes:
+    """What follows the HTTP header, if there is one."""
+    return body.partition(b"\r\n\r\n")[2] if body.startswith(b"HTTP/") else body
+
+
 def to_warc(r: ArcRecord, page_id: int | None, refers_to: int | None) -> bytes:
     """The WARC record without the two line ends that follow every record. With refers_to it is a
     revisit: it has no body and tells the length and the digest of the payload that it stands for."""
-    sha1 = hashlib.sha1(r.body).hexdigest()
-    head = [("WARC-Type", "revisit" if refers_to is not None else "response"), ("WARC-Record-ID", f"<urn:uuid:{record_id(page_id, sha1)}>"), ("WARC-Date", iso_date(r.date)), ("WARC-Target-URI", r.url), ("WARC-IP-Address", r.ip), ("WARC-Payload-Digest", f"sha1:{sha1}")]
+    payload, http = payload_of(r.body), r.body.startswith(b"HTTP/")
+    sha1 = hashlib.sha1(payload).hexdigest()
+    kind = "revisit" if refers_to is not None else "response" if http else "resource"
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{record_id(page_id, sha1)}>"), ("WARC-Date", iso_date(r.date)), ("WARC-Target-URI", r.url), ("WARC-IP-Address", r.ip), ("WARC-Payload-Digest", f"sha1:{sha1}")]
     if refers_to is not None:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{record_id(refers_to, sha1)}>"), ("X-Payload-Length", str(len(r.body)))]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{record_id(refers_to, sha1)}>"), ("X-Payload-Length", str(len(payload)))]
     else:
-        head += [("WARC-Block-Digest", f"sha1:{sha1}"), ("Content-Type", r.mime)]
+        head += [("WARC-Block-Digest", f"sha1:{hashlib.sha1(r.body).hexdigest()}"), ("Content-Type", "application/http; msgtype=response" if http else r.mime)]
     body = b"" if refers_to is not None else r.body
     lines = ["WARC/1.0", *(f"{k}: {v}" for k, v in head), f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(lines).encode() + body
@@ -151,16 +164,42 @@ def with_original(pages: DataFrame, least: int) -> DataFrame:
     return out.withColumn("original", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original"))).drop("sha1")
 
 
+def _pieces(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Records in a row, joined by their line ends up to PIECE_BYTES."""
+    held: list[bytes] = []
+    size = 0
+    for r in records:
+        held.append(r)
+        size += len(r)
+        if size >= PIECE_BYTES:
+            yield pa.record_batch([pa.array([BETWEEN.encode().join(held)], pa.binary())], ["records"])
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array([BETWEEN.encode().join(held)], pa.binary())], ["records"])
+
+
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, 128):
-            rows = b.slice(i, 128).to_pylist()
-            out = []
-            for version in FIELDS:  # both kinds of archive pass through the converter
-                own = [r for r in rows if (r["page_id"] or 0) % 2 == version % 2]
-                arc = write_arc([ArcRecord(re.sub(r"\s", lambda m: "".join(f"%{c:02X}" for c in m[0].encode()), r["url"] or "unknown:"), "0.0.0.0", "19960101000000", "text/html", "200", r["body"]) for r in own], version)
-                out += [to_warc(a, r["page_id"], r["original"]) for a, r in zip(read_arc(arc), own, strict=True)]
-            yield pa.record_batch([pa.array(out, pa.binary())], ["record"])
+    def records() -> Iterator[bytes]:
+        for b in batches:
+            for i in range(0, b.num_rows, 128):
+                rows = b.slice(i, 128).to_pylist()
+                for version in FIELDS:  # both kinds of archive pass through the converter
+                    own = [r for r in rows if (r["page_id"] or 0) % 2 == version % 2]
+                    arc = write_arc([ArcRecord(re.sub(r"\s", lambda m: "".join(f"%{c:02X}" for c in m[0].encode()), r["url"] or "unknown:"), "0.0.0.0", "19960101000000", "text/html", "200", HTTP + r["body"]) for r in own], version)
+                    yield from (to_warc(a, r["page_id"], r["original"]) for a, r in zip(read_arc(arc), own, strict=True))
+
+    return _pieces(records())
+
+
+def _convert_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files = (c.as_buffer().to_pybytes() for b in batches for c in b.column(0))
+    return _pieces(to_warc(r, None, None) for data in files for r in read_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
+
+
+def convert_archives(spark, source: str, to: str) -> None:
+    """The ARC files under source (of either version, gzipped or not, of up to 2 GB) as WARC files under to."""
+    files = spark.read.format("binaryFile").load(source).select("content")
+    write_blobs(files.mapInArrow(_convert_files, "records binary"), "records", to, BETWEEN, FILE_PIECES)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +211,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for head, body in read_warc(content.as_buffer().to_pybytes()):
                 sha1 = head["warc-payload-digest"].removeprefix("sha1:")
                 revisit = head["warc-type"] == "revisit"
+                if not revisit and hashlib.sha1(body).hexdigest() != head["warc-block-digest"].removeprefix("sha1:"):
+                    raise ValueError("a record doesn't match its digest")
+                body = payload_of(body)
                 if not revisit and hashlib.sha1(body).hexdigest() != sha1:
                     raise ValueError("a payload doesn't match its digest")
                 rows.append((page_of(head["warc-record-id"]), int(head["x-payload-length"]) if revisit else len(body), sha1, head["warc-type"], page_of(head["warc-refers-to"]) if revisit else None, head["warc-target-uri"]))
@@ -181,8 +223,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_pages(pages: DataFrame, path: str, least: int = 1000) -> None:
     """Archives of pages(page_id, url, html) under path."""
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("body"))
-    records = with_original(own, least).select("page_id", "url", "body", "original").mapInArrow(_convert, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", BETWEEN).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = with_original(own, least).select("page_id", "url", "body", "original").mapInArrow(_convert, "records binary")
+    write_blobs(records, "records", path, BETWEEN, FILE_PIECES)
 
 
 def read_archives(spark, path: str) -> DataFrame:

@@ -13,16 +13,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this driver has written, in order.
+written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share; spark.checkpoint.dir names it on a
-    cluster. Where that is unset (one machine, tests) a folder beside the warehouse is used."""
+    cluster. Where that is unset on one machine (tests) a folder beside the warehouse is used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    written.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return written[-1]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that nothing will read again."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if p in written:
+            written.remove(p)
 
 
-def stored(df: DataFrame, *partition: str) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage ends here, and a lost
     executor costs nothing that was done before."""
     path = shared_dir(df.sparkSession)
@@ -74,10 +90,10 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def write_blobs(df: DataFrame, column: str, path: str, end: str) -> None:
-    """Each row's bytes, followed by end, into files under path: Spark's text writer commits them, so
-    any file system that Spark writes will do and lost tasks leave nothing behind."""
-    df.select(F.col(column).cast("string").alias("value")).write.option("lineSep", end).text(path)
+def write_blobs(df: DataFrame, column: str, path: str, end: str, blobs: int) -> None:
+    """Each row's bytes, followed by end, into files of that many rows at most under path: Spark's text
+    writer commits them, so any file system that Spark writes will do and lost tasks leave nothing behind."""
+    df.select(F.col(column).cast("string").alias("value")).write.option("lineSep", end).option("maxRecordsPerFile", blobs).text(path)
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:

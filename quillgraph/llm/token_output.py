@@ -5,11 +5,14 @@ chunk of those ids that have one, and so on. A bitmap per level tells which chun
 of ranks, one entry per 512 bits, leads from a position to its place on the next level. So any one id is
 read by a few look-ups (Segment.__getitem__), with no block to decode.
 
-A segment holds some documents in ascending order: a magic word, its length, the table of documents,
-then each level. A file is segments, each followed by one line feed.
+A segment holds some documents in ascending order: a magic word, its length, its place (the range of
+doc_ids that it is from and its number there), the table of documents, then each level. A file is some
+segments of one range, each followed by one line feed. Places are numbers in the segments, so no order of
+file names is relied on.
 
 Defined cases: null and empty texts hold the end id only. Rows that share a doc_id stand side by side, in
-the order of their texts; null ids come first, as in Spark's order. Other columns are not read.
+the order of their texts; null ids come first, as in Spark's order. A very long text is a segment of its
+own. Other columns are not read.
 """
 import struct
 import zlib
@@ -19,6 +22,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +33,14 @@ from .pieces import PieceTable, spread
 MAGIC, WIDTH, PER_RANK = b"DACS", 8, 512
 #: Documents and bytes of text of one segment; a block of texts that reaches either is its last.
 SEGMENT_DOCS, SEGMENT_BYTES = 512, 1_000_000
+#: Segments of one file: about 40 MB, unless single texts are longer.
+FILE_SEGMENTS = 64
 #: Words, and pieces of words, that a worker remembers before it starts anew.
 WORDS, PIECES = 100_000, 1_000_000
 
 
-def write_segment(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """known: 0 where a document has no id."""
+def write_segment(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray, place: tuple[int, int] = (0, 0)) -> bytes:
+    """known: 0 where a document has no id. place: range, number in the range."""
     levels, rest = [], ids.astype("<u4")
     while len(rest):
         more = rest >= 1 << WIDTH
@@ -43,11 +49,12 @@ def write_segment(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, i
         levels.append(struct.pack("<II", len(rest), len(ranks)) + (rest & 255).astype("u1").tobytes() + bits.tobytes() + ranks.tobytes())
         rest = rest[more] >> WIDTH
     body = struct.pack("<IIB", len(doc_ids), len(ids), len(levels)) + doc_ids.astype("<i8").tobytes() + known.astype("u1").tobytes() + lengths.astype("<u4").tobytes() + b"".join(levels)
-    return MAGIC + struct.pack("<Q", len(body)) + body
+    return MAGIC + struct.pack("<QQQ", len(body), *place) + body
 
 
 class Segment:
-    def __init__(self, body: memoryview):
+    def __init__(self, body: memoryview, place: tuple[int, int]):
+        self.place = place
         n, self.total, depth = struct.unpack_from("<IIB", body)
         at = 9
         self.doc_ids = np.frombuffer(body, "<i8", n, at)
@@ -88,14 +95,15 @@ class Segment:
         return out
 
 
-def read_segments(data: bytes) -> Iterator[Segment]:
+def read_segments(data) -> Iterator[Segment]:
+    """The segments of a file's bytes, which aren't copied."""
     at, view = 0, memoryview(data)
-    while at < len(data):
-        if data[at : at + 4] != MAGIC:
+    while at < len(view):
+        if view[at : at + 4] != MAGIC:
             raise ValueError("no segment where one is due")
-        (n,) = struct.unpack_from("<Q", data, at + 4)
-        yield Segment(view[at + 12 : at + 12 + n])
-        at += 13 + n
+        n, part, number = struct.unpack_from("<QQQ", view, at + 4)
+        yield Segment(view[at + 28 : at + 28 + n], (part, number))
+        at += 29 + n
 
 
 class WordEncoder:
@@ -278,10 +286,12 @@ def write_ids(docs: DataFrame, to: str, tokenizer: str, end_id: int, text: str =
         enc = piece_encoder(tokenizer)
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
+        number, part = 0, TaskContext.get().partitionId()
+
         def segment() -> pa.RecordBatch:
             doc_ids = pa.chunked_array([d for d, _, _ in held])
             blob = write_segment(
-                doc_ids.fill_null(0).to_numpy(), doc_ids.is_valid().to_numpy(), np.concatenate([n for _, n, _ in held]), np.concatenate([x for _, _, x in held])
+                doc_ids.fill_null(0).to_numpy(), doc_ids.is_valid().to_numpy(), np.concatenate([n for _, n, _ in held]), np.concatenate([x for _, _, x in held]), (part, number)
             )
             return pa.record_batch([pa.array([blob], pa.binary())], ["segment"])
 
@@ -293,38 +303,41 @@ def write_ids(docs: DataFrame, to: str, tokenizer: str, end_id: int, text: str =
                 size += len(data)
                 if sum(len(d) for d, _, _ in held) >= SEGMENT_DOCS or size >= SEGMENT_BYTES:
                     yield segment()
-                    held, size = [], 0
+                    held, size, number = [], 0, number + 1
         if held:
             yield segment()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
     in_order = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    write_blobs(in_order.mapInArrow(run, "segment binary"), "segment", to, "\n")
+    write_blobs(in_order.mapInArrow(run, "segment binary"), "segment", to, "\n", FILE_SEGMENTS)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-            before = 0
-            for s in read_segments(content.as_buffer().to_pybytes()):
+            before, first = 0, None
+            for s in read_segments(content.as_buffer()):
+                first = s.place if first is None else first
                 ids, ends = s.ids(), s.lengths.astype("i8").cumsum()
                 starts = ends - s.lengths
                 crc = [zlib.crc32(ids[a:e].tobytes()) for a, e in zip(starts, ends)]
                 n = len(starts)
+                same = lambda v, kind: pa.array([v] * n, kind)
                 yield pa.record_batch(
-                    [pa.array([path] * n, pa.string()), pa.array(s.doc_ids, pa.int64(), mask=s.known == 0), pa.array(starts + before, pa.int64()), pa.array(s.lengths, pa.int64()), pa.array(crc, pa.int64())],
-                    ["file", "doc_id", "start", "n_tokens", "ids_crc32"],
+                    [same(first[0], pa.int64()), same(first[1], pa.int64()), pa.array(s.doc_ids, pa.int64(), mask=s.known == 0), pa.array(starts + before, pa.int64()), pa.array(s.lengths, pa.int64()), pa.array(crc, pa.int64())],
+                    ["part", "number", "doc_id", "start", "n_tokens", "ids_crc32"],
                 )
                 before += s.total
 
 
 def read_ids(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files under path. What a file's
-    documents have before them in other files comes from the files' totals, one row a file."""
-    rows = stored(read_blobs(spark, path).mapInArrow(_read, "file string, doc_id long, start long, n_tokens long, ids_crc32 long"))
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    files = files.withColumn("before", F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).select("file", F.coalesce("before", F.lit(0)).alias("before"))
-    return rows.join(files, "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    documents have before them in other files comes from the files' totals, one row a file: a range, and
+    the number of the file's first segment there."""
+    rows = stored(read_blobs(spark, path).mapInArrow(_read, "part long, number long, doc_id long, start long, n_tokens long, ids_crc32 long"))
+    files = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("total"))
+    files = files.withColumn("before", F.sum("total").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))).select("part", "number", F.coalesce("before", F.lit(0)).alias("before"))
+    return rows.join(files, ["part", "number"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

@@ -107,6 +107,54 @@ def test_token_files(spark):
     assert (s.ids() == ids).all() and [s[i] for i in range(0, 1500, 7)] == ids[::7].tolist()
 
 
+def test_token_files_are_cut_by_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_output, "FILE_SEGMENTS", 1)
+    rows = [(i, f"word{i} " * (i % 40)) for i in range(3000)] + [(i, None) for i in range(3000, 3010)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [tuple(r) for r in token_output.round_trip(d, WORD_MODEL, 2).orderBy("doc_id").collect()]
+    at = 0
+    for i, start, n, _ in want:
+        assert start == at
+        at += n
+    # more files than their names have digits for, read in any order
+    at, parts = str(tmp_path / "files"), []
+    ids = np.array([5, 300, 2], "<u4")
+    for k in range(1100):
+        parts.append(token_output.write_segment(np.array([k]), np.array([True]), np.array([3]), ids, (k // 4, k % 4)))
+    made = spark.createDataFrame([(bytearray(x),) for x in parts], "segment binary").repartition(7)
+    token_output.write_blobs(made, "segment", at, "\n", 1)
+    got = [tuple(r)[:3] for r in token_output.read_ids(spark, at).orderBy("doc_id").collect()]
+    assert got == [(k, 3 * k, 3) for k in range(1100)]
+    assert token_output.round_trip(d.limit(0), WORD_MODEL, 2).count() == 0
+
+
+def test_archives_are_cut_by_bytes_and_stored_ones_are_read(spark, monkeypatch, tmp_path):
+    import gzip
+    import os
+
+    rows = [(i, f"http://a/{i}", f"page {i} " + "x" * (200 * (i % 9)), "other") for i in range(400)] + [(400, "u", "y" * 3_000_000, "other")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, record string").repartition(2)
+    want = sorted(map(tuple, arc.round_trip(d).collect()), key=str)
+    assert len(want) == 401 and arc.round_trip(d.limit(0)).count() == 0
+    monkeypatch.setattr(arc, "FILE_PIECES", 1)
+    at = str(tmp_path / "cut")
+    arc.write_pages(d, at)
+    few = len([f for f in os.listdir(at) if f.startswith("part-")])
+    assert sorted((tuple(r)[:5] for r in arc.read_archives(spark, at).collect()), key=str) == want and few >= 2
+    records = [arc.ArcRecord("http://a/1", "1.2.3.4", "199907", "text/html", "200", arc.HTTP + b"abc"), arc.ArcRecord("dns:a", "1.2.3.4", "19990708091011", "text/dns", "200", b"a line\n")]
+    os.mkdir(tmp_path / "old")
+    for version in (1, 2):
+        data = arc.write_arc(records, version)
+        (tmp_path / "old" / f"v{version}.arc").write_bytes(gzip.compress(data) if version == 1 else data)
+    arc.convert_archives(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+    got = sorted(tuple(r)[1:4] for r in arc.read_archives(spark, str(tmp_path / "new")).collect())
+    sha = lambda x: hashlib.sha1(x).hexdigest()
+    assert got == sorted([(3, sha(b"abc"), "response"), (7, sha(b"a line\n"), "resource")] * 2)
+    warc = b"".join((tmp_path / "new" / f).read_bytes() for f in os.listdir(tmp_path / "new") if f.startswith("part-"))
+    heads = [h for h, _ in arc.read_warc(warc)]
+    assert {h["warc-date"] for h in heads} == {"1999-07-01T00:00:00Z", "1999-07-08T09:10:11Z"} and {h["content-type"] for h in heads} == {"application/http; msgtype=response", "text/dns"}
+
+
 def test_rules(spark):
     rows = [(1, None), (2, "a b"), (3, " ".join(f"w{i}" for i in range(40))), (4, "one two three four five six " * 9), (5, "AB CD EF " * 3 + " ".join("XY%d" % i for i in range(20))), (3, " ".join(f"w{i}" for i in range(40)))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
