@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, decontaminate, near_dedup, pii, quality_rules
-from quillgraph.llm.common import stored, table
+from quillgraph.llm.common import discard, stored, table, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stage has read and written on the way is deleted once its rows are stored."""
     docs = table(spark, sf_dir, "documents")
+    done = len(written)
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
+        discard(spark, written[done:-1])
     return docs
