@@ -1,8 +1,8 @@
 r"""Language identification by bit-sliced Bloom filters of n-grams.
 
-One table of slots serves all languages: bit l of a slot is slot s of language l's Bloom filter. Looking
-an n-gram up is an AND of a few slots, whose result has a bit for every language that contains the
-n-gram. Per text and language the hits are counted; the share of hits that the filter's fill would give
+One table of slots serves all languages: bit l of a slot is slot s of language l's Bloom filter, in as many
+words a slot as the languages need. Looking an n-gram up is an AND of a few slots, whose result has a bit
+for every language that contains the n-gram. Per text and language the hits are counted; the share of hits that the filter's fill would give
 by chance is taken off, and the language with the most is the prediction.
 
 N-grams are 4 bytes of the lower-cased text in which all but letters counts as one space; a space may
@@ -10,8 +10,9 @@ stand first or last only. A language contains an n-gram if it is in LEAST_SHARE
 
 Defined cases: text that is null or without a letter is "und" with score 0. A text whose letters give no
 n-gram at all, or no language any hit, gets the language learned from most texts, with score 0. Ties go
-to the language first in the alphabet. With nothing to learn from, all is "und". Repeated rows are
-predicted each; other columns are not read.
+to the language first in the alphabet. With nothing to learn from, all is "und". Very long texts are read
+whole. Repeated rows are predicted each; identify() passes other columns through, but for the text and
+columns named lang_pred and score, which it replaces.
 """
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,11 @@ from .common import crc_mod
 
 #: Texts per language that are learned from, about: the bound of the sample.
 SAMPLE_PER_LANGUAGE = 1500
-LANGUAGES, HASHES, SLOT_BITS = 64, 3, 20
+HASHES, SLOT_BITS = 3, 20
+#: Labels that are learned at most: each 64 take 8 MB of the table, so this bounds it to 256 MB.
+LANGUAGES = 2048
+#: Codes of a language that are held before equal ones are counted.
+PENDING = 1 << 20
 LEAST_SHARE, LEAST_TEXTS = 0.004, 2
 
 #: ASCII letters and all bytes of longer characters stay; the rest is space.
@@ -68,14 +73,17 @@ class Model:
         best, score = [], []
         for _, _, data, offsets in chunks(column):
             codes, at = grams(data, offsets)
-            found = None
-            for s in slots(codes):
-                found = self.table[s] if found is None else found & self.table[s]
             n = np.diff(at).astype(float)
             hits = np.empty((len(n), len(self.languages)))
-            for k in range(len(self.languages)):
-                total = np.concatenate([[0], np.cumsum((found >> found.dtype.type(k)) & found.dtype.type(1), dtype=np.int64)])
-                hits[:, k] = total[at[1:]] - total[at[:-1]]
+            places = slots(codes)
+            bits = 8 * self.table.itemsize
+            for word in range(self.table.shape[1]):
+                found = self.table[places[0], word]
+                for s in places[1:]:
+                    found &= self.table[s, word]
+                for k in range(word * bits, min((word + 1) * bits, len(self.languages))):
+                    total = np.concatenate([[0], np.cumsum((found >> found.dtype.type(k % bits)) & found.dtype.type(1), dtype=np.int64)])
+                    hits[:, k] = total[at[1:]] - total[at[:-1]]
             true = np.maximum(0, (hits - n[:, None] * self.chance) / (1 - self.chance))
             top = true.argmax(axis=1)
             most = true.max(axis=1)
@@ -85,28 +93,48 @@ class Model:
         return (np.concatenate(best), np.concatenate(score)) if best else (np.zeros(0, int), np.zeros(0))
 
 
-def fit(texts: dict[str, list[str]]) -> Model | None:
-    """texts: lower-cased texts by language."""
-    if not texts:
-        return None
-    if len(texts) > LANGUAGES:
-        raise ValueError(f"{len(texts)} languages; a slot has {LANGUAGES} bits")
-    names = sorted(texts)
-    bits = next(b for b in (8, 16, 32, 64) if b >= len(names))
-    kind = np.dtype(f"u{bits // 8}")
-    table = np.zeros(1 << SLOT_BITS, kind)
-    for k, name in enumerate(names):
-        own, column = [], pa.array(texts[name], pa.string())
-        for _, _, data, offsets in chunks(column):
-            codes, at = grams(data, offsets)
-            text = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
-            own.append((np.unique(text << np.uint64(32) | codes) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        codes, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint32), return_counts=True)
-        least = max(min(LEAST_TEXTS, len(column)), LEAST_SHARE * len(column))
-        for s in slots(codes[n >= least]):
-            table[s] |= kind.type(1 << k)
-    fill = np.array([((table >> kind.type(k)) & kind.type(1)).mean() for k in range(len(names))])
-    return Model(names, table, np.minimum(fill**HASHES, 0.999), max(range(len(names)), key=lambda k: len(texts[names[k]])))
+class Learner:
+    """Counts, text by text, in how many texts of a language an n-gram is."""
+
+    def __init__(self):
+        self.texts: dict[str, int] = {}
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.pending: dict[str, list[np.ndarray]] = {}
+
+    def add(self, lang: str, text: str) -> None:
+        """A lower-cased text."""
+        self.texts[lang] = self.texts.get(lang, 0) + 1
+        for _, _, data, offsets in chunks(pa.array([text], pa.string())):
+            self.pending.setdefault(lang, []).append(np.unique(grams(data, offsets)[0]))
+        if sum(map(len, self.pending.get(lang, ()))) > PENDING:
+            self.counted(lang)
+
+    def counted(self, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        """The language's n-grams and how many texts have each."""
+        codes, n = self.known.get(lang, (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
+        new = self.pending.pop(lang, [])
+        every, place = np.unique(np.concatenate([codes, *new]), return_inverse=True)
+        weights = np.concatenate([n, np.ones(sum(map(len, new)), np.int64)])
+        self.known[lang] = every.astype(np.uint32), np.bincount(place, weights, len(every)).astype(np.int64)
+        return self.known[lang]
+
+    def kept(self, lang: str) -> np.ndarray:
+        """The n-grams that the language contains."""
+        codes, n = self.counted(lang)
+        return codes[n >= max(min(LEAST_TEXTS, self.texts[lang]), LEAST_SHARE * self.texts[lang])]
+
+    def model(self) -> "Model | None":
+        names = sorted(self.texts)
+        if not names:
+            return None
+        bits = next((b for b in (8, 16, 32) if b >= len(names)), 64)
+        kind = np.dtype(f"u{bits // 8}")
+        table = np.zeros((1 << SLOT_BITS, -(-len(names) // bits)), kind)
+        for k, name in enumerate(names):
+            for s in slots(self.kept(name)):
+                table[s, k // bits] |= kind.type(1 << k % bits)
+        fill = np.array([((table[:, k // bits] >> kind.type(k % bits)) & kind.type(1)).mean() for k in range(len(names))])
+        return Model(names, table, np.minimum(fill**HASHES, 0.999), max(range(len(names)), key=lambda k: self.texts[names[k]]))
 
 
 def learn(docs: DataFrame, text: str, lang: str, pick, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
@@ -117,13 +145,12 @@ def learn(docs: DataFrame, text: str, lang: str, pick, per_language: int = SAMPL
         return None
     if len(counts) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
-    keep = F.lit(False)
-    for name, n in sorted(counts.items()):
-        keep = keep | ((F.col("lang") == name) & (F.col("h") < int((1 << 20) * min(1.0, per_language / n))))
-    texts: dict[str, list[str]] = {}
+    least = F.create_map(*(F.lit(x) for name, n in sorted(counts.items()) for x in (name, int((1 << 20) * min(1.0, per_language / n)))))
+    keep = F.col("h") < F.element_at(least, F.col("lang"))
+    learner = Learner()
     for r in known.filter(keep).select("lang", "text").toLocalIterator():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    return fit(texts)
+        learner.add(r["lang"], r["text"])
+    return learner.model()
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

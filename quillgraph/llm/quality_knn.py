@@ -8,7 +8,9 @@ weights that fall with the distance.
 
 Defined cases: a null text counts as empty. A text without terms (empty) is like no labelled text and
 gets the labelled texts' mean. Without labels the score is 0.5. Labels of a doc_id that is labelled more
-than once are averaged and rounded up. Repeated rows are scored each; other columns are not read.
+than once are averaged and rounded up; of several texts under a labelled doc_id the first in the alphabet is
+learned. Of labelled texts that tie for the last place among the nearest any may vote. Very long texts are
+read whole. Repeated rows are scored each; other columns are not read.
 """
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -115,7 +117,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model |
     hashes of doc_id."""
     own = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
     few = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = docs.join(F.broadcast(few), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").dropDuplicates(["doc_id"])
+    rows = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("label").alias("label"))
     got = sorted(rows.toLocalIterator(), key=lambda r: r["doc_id"])
     return fit([r["text"] for r in got], [r["label"] for r in got])
 

@@ -238,3 +238,60 @@ def test_pieces_equal_the_library(monkeypatch):
         ids, count = enc.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
         got = np.split(ids, count.cumsum()[:-1])
         assert [x.tolist() for x in got] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+
+
+def test_votes_equal_all_pairs(monkeypatch):
+    import random
+
+    r = random.Random(4)
+    words = ["stone", "river", "CAPS", "##", "1 2 3", "...", "a b", "walks\n", "!!", "x|y"]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 40))) for _ in range(400)]
+    monkeypatch.setattr(quality_knn, "BLOCK", 60)
+    model = quality_knn.fit(texts[:250], [r.randint(0, 1) for _ in range(250)])
+    x = np.vstack([model.latent(quality_knn.term_counts(data, offsets)) for _, _, data, offsets in quality_knn.chunks(pa.array(texts, pa.string()))])
+    want = []
+    for v in x:
+        sims = [float(np.dot(v.astype(float), w)) for w in model.vectors.astype(float)]
+        near = sorted(range(250), key=lambda i: -sims[i])[: quality_knn.NEIGHBOURS]
+        weights = [max(sims[i], 0.0) ** quality_knn.SHARPNESS for i in near]
+        want.append(sum(w * model.labels[i] for w, i in zip(weights, near)) / sum(weights) if sum(weights) > 1e-9 else float(model.labels.mean()))
+    assert np.allclose(model.score(pa.array(texts, pa.string())), want, atol=1e-4)
+
+
+def test_texts_of_one_labelled_id(spark):
+    d = spark.createDataFrame([(1, "b b b"), (1, "A A A"), (2, "c, c."), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, label int")
+    one = quality_knn.learn(d, labels)
+    assert one.labels.tolist() == [1.0, 0.0] and (one.vectors == quality_knn.learn(d.repartition(4), labels).vectors).all()
+
+
+def exact_prediction(learner, text):
+    """By exact sets of n-grams."""
+    names = sorted(learner.texts)
+    data = text.encode()
+    codes = language_id.grams(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist()
+    sets = {k: set(learner.kept(k).tolist()) for k in names}
+    return [sum(c in sets[k] for c in codes) for k in names]
+
+
+@pytest.mark.parametrize("languages", [3, 20, 70])
+def test_languages_equal_exact_sets(languages, monkeypatch):
+    import random
+
+    monkeypatch.setattr(language_id, "PENDING", 2000)
+    r = random.Random(6)
+    own = {f"l{k:02d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyzéß", k=r.randint(3, 8))) for _ in range(60)] for k in range(languages)}
+    learner = language_id.Learner()
+    for name, words in own.items():
+        for _ in range(12):
+            learner.add(name, " ".join(r.choices(words, k=60)))
+    model = learner.model()
+    texts = [" ".join(r.choices(own[r.choice(list(own))], k=r.randint(1, 30))) for _ in range(120)]
+    top, score = model.predict(pa.array(texts, pa.string()))
+    for t, k, s in zip(texts, top, score):
+        hits = exact_prediction(learner, t)
+        n = len(language_id.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0])
+        # the filters never miss an n-gram; what they find by chance is taken off again
+        assert hits[k] >= max(hits) - 0.02 * n and abs(s - max(hits) / n) < 0.03
+    codes, n = learner.counted("l00")
+    assert len(codes) == len(set(codes.tolist())) and n.max() <= 12
