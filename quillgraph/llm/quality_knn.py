@@ -1,8 +1,9 @@
 r"""Quality classifier: votes of the nearest labelled texts in a latent-semantic space.
 
-Terms are triples of byte classes (letters, digits, marks ...), pairs of equal neighbouring words and
-pairs of equal neighbouring lines. Counts are damped, weighted by rarity, and projected on the first
-right singular vectors of the labelled texts' matrix. The labelled vectors are broadcast; every document's
+Terms are of three sorts: triples of byte classes (letters, digits, marks ...) with pairs of equal
+neighbouring words and lines; words; and runs of four bytes, both lower-cased in ASCII and hashed into
+HASHED places. Counts are damped and weighted by rarity, each sort gets its share of the length, and the
+whole is projected on the first right singular vectors of the labelled texts' matrix. The labelled vectors are broadcast; every document's
 cosine with each of them is computed exactly, block by block, and the NEIGHBOURS nearest vote with
 weights that fall with the distance.
 
@@ -20,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_np import chunks, span_hashes, word_spans
+from .bytes_np import chunks, mixed, span_hashes, word_spans
 from .common import crc_mod
 
 #: Labelled texts that are learned from at most: the bound of the sample and of what is broadcast.
 LABELLED = 3000
 NEIGHBOURS, DIMENSIONS, SHARPNESS, BLOCK = 25, 64, 16, 2048
-CLASSES = 16
-TERMS = CLASSES**3 + 2
+CLASSES, HASHED = 16, 2048
+#: Where the sorts of terms begin, and their lengths in a text's vector.
+SORTS, LENGTHS = [0, CLASSES**3 + 2, CLASSES**3 + 2 + HASHED, CLASSES**3 + 2 + 2 * HASHED], [1.0, 0.5, 0.5]
+TERMS = SORTS[-1]
 
 #: Byte classes: 0 space, 1 line feed, 2 lower case, 3 upper case, 4 digit, 5-13 marks of their own, 14 other, 15 above ASCII.
 _CLASS = np.full(256, 14, np.int32)
@@ -59,9 +62,28 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             h, of = span_hashes(data, starts, ends), text[starts]
             twice = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
             out[:, CLASSES**3 + k] = np.bincount(of[1:][twice], minlength=n)
+    low = data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    placed = lambda h, of: np.bincount(of * HASHED + (h >> np.uint64(40)).astype(np.int64) % HASHED, minlength=n * HASHED).reshape(n, HASHED)
+    starts, ends, _ = word_spans(kind <= 1, offsets)
+    out[:, SORTS[1] : SORTS[2]] = placed(span_hashes(low, starts, ends), text[starts])
+    if len(low) > 3:
+        four = sum(low[k : len(low) - 3 + k].astype(np.uint64) << np.uint64(8 * k) for k in range(4))
+        whole = text[:-3] == text[3:]
+        out[:, SORTS[2] :] = placed(mixed(four[whole]), text[:-3][whole])
     return out
 
 
+def weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """counts (which are overwritten) as vectors of length 1."""
+    np.log1p(counts, out=counts)
+    counts *= rarity
+    for a, e, length in zip(SORTS, SORTS[1:], LENGTHS):
+        counts[:, a:e] *= length / np.maximum(np.linalg.norm(counts[:, a:e], axis=1, keepdims=True), 1e-9)
+    counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    return counts
+
+
 @dataclass
 class Model:
     rarity: np.ndarray
@@ -70,7 +92,7 @@ class Model:
     labels: np.ndarray
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        return unit(unit(np.log1p(counts) * self.rarity) @ self.axes)
+        return unit(weighted(counts, self.rarity) @ self.axes)
 
     def score(self, column: pa.Array) -> np.ndarray:
         out = []
@@ -101,9 +123,13 @@ def unit(x: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
     if not texts:
         return None
-    counts = np.vstack([term_counts(data, offsets) for _, _, data, offsets in chunks(pa.array(texts, pa.string()))])
-    rarity = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
-    x = unit(np.log1p(counts) * rarity)
+    counts = np.zeros((len(texts), TERMS), np.float32)
+    for a, e, data, offsets in chunks(pa.array(texts, pa.string())):
+        for i in range(a, e, 256):
+            at = offsets[i - a : i - a + 257]
+            counts[i : min(i + 256, e)] = term_counts(data[at[0] : at[-1]], at - at[0])
+    rarity = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+    x = weighted(counts, rarity)
     # a randomised SVD: a few passes over the matrix, then a small exact one
     q = np.random.default_rng(seed).standard_normal((TERMS, min(DIMENSIONS + 16, len(texts)))).astype(np.float32)
     for _ in range(4):

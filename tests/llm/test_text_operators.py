@@ -258,6 +258,21 @@ def test_votes_equal_all_pairs(monkeypatch):
     assert np.allclose(model.score(pa.array(texts, pa.string())), want, atol=1e-4)
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnoprstu", "абвгдежзиклмнопрстуф", "αβγδεζηθικλμνξοπρστ"])
+def test_votes_hear_words(alphabet):
+    import random
+
+    r = random.Random(9)
+    # all words have one length, so texts differ in vocabulary only; few words are shared
+    word = lambda: "".join(r.choices(alphabet, k=6))
+    both, sides = [word() for _ in range(40)], [[word() for _ in range(120)] for _ in range(2)]
+    labels = [r.randint(0, 1) for _ in range(400)]
+    texts = [" ".join(r.choices(both + sides[k], k=30)) for k in labels]
+    scores = quality_knn.fit(texts[:300], labels[:300]).score(pa.array(texts[300:], pa.string()))
+    pairs = [(scores[i], scores[j]) for i in range(100) for j in range(100) if labels[300 + i] > labels[300 + j]]
+    assert sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs) > 0.97
+
+
 def test_texts_of_one_labelled_id(spark):
     d = spark.createDataFrame([(1, "b b b"), (1, "A A A"), (2, "c, c."), (3, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, label int")
