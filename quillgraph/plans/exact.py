@@ -6,7 +6,8 @@ later atom needs are dropped with their duplicates at once. Negated atoms are an
 positive ones; variables that only they have range over the entities.
 
 Triples may be a table, or a function from relation ids to a table: then each atom reads only the relations
-that the instances give it, however the graph is stored.
+that the instances give it, however the graph is stored. Entities may be a function too, which is called
+where a variable ranges over them.
 """
 from collections.abc import Callable
 
@@ -17,6 +18,7 @@ from .language import CONSTANT, Atom, Clause, Query, kind_of
 
 
 Triples = DataFrame | Callable[[list[int]], DataFrame]
+Entities = DataFrame | Callable[[], DataFrame]
 #: Different ids of one relation name that are read one by one; beyond it the whole graph is.
 RELATIONS = 1000
 
@@ -57,16 +59,17 @@ def relation_ids(query: Query, instances: DataFrame) -> dict[str, list[int]]:
     return {n: sorted(found[n]) for n in names if len(found[n]) <= RELATIONS}
 
 
-def clause_rows(clause: Clause, free: list[str], instances: DataFrame, triples: Triples, entities: DataFrame, relations: dict[str, list[int]] | None = None) -> DataFrame:
+def clause_rows(clause: Clause, free: list[str], instances: DataFrame, triples: Triples, entities: Entities, relations: dict[str, list[int]] | None = None) -> DataFrame:
     """query_id and the free variables, distinct."""
     rows = instances
+    every = lambda x: (entities if isinstance(entities, DataFrame) else entities()).select(F.col("id").alias(x))
     of = lambda a: triples if isinstance(triples, DataFrame) else triples((relations or {}).get(a.relation))
     todo = [(a, "inner") for a in _order(clause.positive)] + [(a, "left_anti") for a in clause.negative]
     for k, (a, how) in enumerate(todo):
         if how == "left_anti":
             for x in dict.fromkeys((a.head, a.tail)):
                 if x not in rows.columns:
-                    rows = rows.crossJoin(entities.select(F.col("id").alias(x)))  # unsafe variable: ranges over all entities
+                    rows = rows.crossJoin(every(x))  # unsafe variable: ranges over all entities
         later = {x for b, _ in todo[k + 1 :] for x in (b.relation, b.head, b.tail)} | set(free) | {"query_id"}
         ends_here = how == "inner" and all(x in rows.columns or x not in later for x in (a.head, a.tail))
         rows = _matched(rows, of(a), a, "left_semi" if ends_here else how)
@@ -75,13 +78,13 @@ def clause_rows(clause: Clause, free: list[str], instances: DataFrame, triples:
             rows = rows.select(*keep).distinct()
     for x in free:
         if x not in rows.columns:
-            rows = rows.crossJoin(entities.select(F.col("id").alias(x)))
+            rows = rows.crossJoin(every(x))
     if clause.contradicts:
         rows = rows.filter(F.lit(False))
     return rows.select("query_id", *free).distinct()
 
 
-def answers(query: Query, instances: DataFrame, triples: Triples, entities: DataFrame, relations: dict[str, list[int]] | None = None) -> DataFrame:
+def answers(query: Query, instances: DataFrame, triples: Triples, entities: Entities, relations: dict[str, list[int]] | None = None) -> DataFrame:
     """query_id and one column per free variable, distinct over the disjuncts. Of a sentence: the ids of
     the instances for which it holds. relations: the ids that the instances bind to each relation name,
     for triples that are a function; they are looked up where they aren't given."""

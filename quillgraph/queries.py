@@ -130,7 +130,7 @@ def exact_query(name: str) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
         # answers are distinct anyway, so the triples of an atom needn't be
         of = (lambda ids: graph.star(s, d, ids, distinct=False)) if on_star else (lambda ids: graph.vector_graph(s, d, ids, both=True, distinct=False))
-        return exact.answers(q, graph.binding_rows(s, rows), of, graph.entity_ids(of(None)), relations).withColumnRenamed("f", "entity_id")
+        return exact.answers(q, graph.binding_rows(s, rows), of, lambda: graph.entity_ids(of(None)), relations).withColumnRenamed("f", "entity_id")
 
     query("shape_" + name.replace("-", "_"), sql.exact(text, sql.star() if on_star else sql.VECTOR_BOTH, rows))(run)
 
