@@ -357,7 +357,8 @@ def left_over(rows: DataFrame, centres: DataFrame, nodes: DataFrame, parts: Data
         F.count_if(~F.col("inner")).alias("outer"), cells(F.count_if(F.col("smaller") & ~F.col("inner"))).alias("xo"), cells(F.count_if(F.col("smaller") & F.col("inner"))).alias("xi"),
         cells(F.count("*")).alias("ya"), cells(F.count_if(~F.col("inner"))).alias("yo"),
     ).filter("outer > 0 and xo + xi > 0").drop("outer")
-    some = some.join(counted, "key").join(nodes.select("node", "regs"), "node").join(parts, "node")
+    # read four times below
+    some = stored(some.join(counted, "key").join(nodes.select("node", "regs"), "node").join(parts, "node"))
     side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp{x}"), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("regs").alias(f"regs{x}"), F.col("parts").alias(f"parts{x}")]
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
