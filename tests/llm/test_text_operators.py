@@ -310,3 +310,26 @@ def test_languages_equal_exact_sets(languages, monkeypatch):
         assert hits[k] >= max(hits) - 0.02 * n and abs(s - max(hits) / n) < 0.03
     codes, n = learner.counted("l00")
     assert len(codes) == len(set(codes.tolist())) and n.max() <= 12
+
+
+def test_languages_of_long_texts_beside_other_columns(spark):
+    words = {"aa": "lorem ipsum dolor amet", "bb": "shed thing wharf knight"}
+    rows = [(i, " ".join([words[k]] * 9), k, "x", 7) for i, k in enumerate(["aa", "bb"] * 30)] + [(99, " ".join([words["bb"]] * 60_000), None, "y", 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, n int")
+    model = language_id.learn(d, "text", "lang", F.col("doc_id"))
+    out = language_id.identify(d, model)
+    assert out.columns == ["doc_id", "lang", "n", "lang_pred", "score"]
+    got = {r["doc_id"]: (r["lang_pred"], r["n"]) for r in out.collect()}
+    assert got[99] == ("bb", 8) and all(got[i] == (k, 7) for i, _, k, _, _ in rows[:60])
+    assert language_id.identify(d.limit(0), model).count() == 0
+
+
+def test_long_conversations_and_repeated_turns(spark):
+    long = "said and done, " * 40_000
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", long if t == 5 else f"turn {t}", "x", 3) for t in range(300)] + [(2, 0, "user", "a", "x", 3), (2, 1, "assistant", "b", "x", 3), (2, 1, "assistant", "b", "x", 3)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, valid int")
+    made = chat_format.conversations(d)
+    back = {r["conv_id"]: r["back"] for r in made.withColumn("back", chat_format.read_back(F.col("formatted"))).collect()}
+    assert [tuple(x)[:2] for x in back[1]] == [(r[2], r[3]) for r in rows[:300]] and len(back[2]) == 3
+    got = {r["conv_id"]: r for r in chat_format.digest(made).collect()}
+    assert got[1]["n_turns"] == 300 and got[1]["loss_chars"] == sum(len(r[3]) for r in rows[:300] if r[2] == "assistant") and not got[2]["valid"]
