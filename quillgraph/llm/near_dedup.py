@@ -58,6 +58,8 @@ PARTS = 128
 BROADCAST_IDS = 500_000
 #: Members of a bucket on either side of a cell in which they are compared.
 CELL = 2000
+#: Links (16 bytes each) up to which one task labels components; rounds of joins over all executors beyond.
+TASK_LINKS = 1_000_000
 #: A set is common from so many copies on, and from so large a share of all rows: at most HOT_SHARE sets are.
 HOT_COPIES, HOT_SHARE = 10_000, 10_000
 
@@ -172,7 +174,7 @@ def sketched(docs: DataFrame, text: str) -> DataFrame:
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """node, elements of the wanted nodes. A node's set is read off one document that has it: the one
     with the least id, and of rows that share this id those whose set has the node's digest."""
-    own = nodes.join(wanted, "node").select("node", F.col("first_id").alias("doc_id"), "digest")
+    own = stored(nodes.join(wanted, "node").select("node", F.col("first_id").alias("doc_id"), "digest"))
     # the digests of null ids can't be found by id; such documents are looked up by a join on nulls
     few = own.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
@@ -250,10 +252,42 @@ def tested(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def least_connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links u - v, ascending, and the least node that each is connected with."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    place = place.reshape(2, -1)
+    least = np.arange(len(nodes))
+    while True:
+        # the larger of the labels at a link's ends is tied to the smaller; then labels follow labels to their end
+        ends = least[place]
+        if (ends[0] == ends[1]).all():
+            return nodes, nodes[least]
+        np.minimum.at(least, ends.max(axis=0), ends.min(axis=0))
+        while (least[least] != least).any():
+            least = least[least]
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (the least node it is connected with) for the nodes of links(a, b): alternating star
-    contractions, each round written out, until a round changes nothing."""
+    """node, comp (the least node it is connected with) for the nodes of links(a, b) that aren't the least
+    themselves. Up to TASK_LINKS links one task takes them all, because a round costs the driver as much for
+    few links as for many."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    if edges.count() > TASK_LINKS:
+        return contracted(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if read:
+            nodes, least = least_connected(*map(np.concatenate, zip(*read)))
+            other = nodes != least
+            yield pa.record_batch([pa.array(nodes[other]), pa.array(least[other])], ["node", "comp"])
+
+    return stored(edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, comp long"))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """components() of edges(u, v) with u > v by alternating star contractions, each round written out, until
+    a round changes nothing."""
     mark = None
     while True:
         # large star: a node's larger neighbours are tied to its least neighbour
@@ -344,12 +378,12 @@ def with_centre(rows: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
     return x.join(middle, "key").filter(F.col("compx") != F.col("compy")).filter(possible("x", "y", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def left_over(rows: DataFrame, centres: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def left_over(rows: DataFrame, centres: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int) -> DataFrame | None:
     """Pairs of members of a bucket that are in different components and weren't tested with its least
-    node or its centre. Of a pair, x has the smaller set (or, of equal ones, the smaller node); with
-    nx <= ny, possible() asks for 2 * percent * nx <= (100 + percent) * cx. Members of the largest component
-    are met by the others only. Nodes that share several buckets meet in the one of the first band in which
-    their registers agree."""
+    node or its centre; None where no such members meet. Of a pair, x has the smaller set (or, of equal
+    ones, the smaller node); with nx <= ny, possible() asks for 2 * percent * nx <= (100 + percent) * cx.
+    Members of the largest component are met by the others only. Nodes that share several buckets meet in
+    the one of the first band in which their registers agree."""
     some = rows.join(centres, "key").filter("node <> leader and node <> centre").filter(100 * F.col("c") >= percent * F.col("n"))
     some = some.withColumn("smaller", (100 + percent) * F.col("c") >= 2 * percent * F.col("n")).withColumn("inner", F.col("comp") == F.col("main"))
     cells = lambda n: F.ceil(n / CELL).cast("int")
@@ -359,6 +393,8 @@ def left_over(rows: DataFrame, centres: DataFrame, nodes: DataFrame, parts: Data
     ).filter("outer > 0 and xo + xi > 0").drop("outer")
     # read four times below
     some = stored(some.join(counted, "key").join(nodes.select("node", "regs"), "node").join(parts, "node"))
+    if some.isEmpty():
+        return None
     side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp{x}"), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("regs").alias(f"regs{x}"), F.col("parts").alias(f"parts{x}")]
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -406,36 +442,44 @@ def _classed(docs: DataFrame, percent: int, text: str) -> tuple[DataFrame, DataF
     buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
     members = stored(bands.join(buckets.select("key", "leader"), "key").select("key", "band", "node", "leader"))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        return stored(full_sets(docs, nodes, wanted, text))
-
-    several = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).filter("a <> z").select("doc_id")
+    several = stored(rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).filter("a <> z").select("doc_id"))
     same_id = rows.filter("n > 0").join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(nodes.select("digest", "node"), "digest")
     shared = same_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
     ties = same_id.join(shared, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     pairs = stored(likely(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent))
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    links = stored(verified(pairs, sets, percent).unionAll(ties))
+    sets = stored(full_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), text))
+    links = verified(pairs, sets, percent)
+    links = stored(links if several.isEmpty() else links.unionAll(ties))
     comps = components(links)
 
-    rest = unsettled(members, comps)
-    known = stored(sets_of(rest.select("node").distinct()).join(nodes.select("node", "n", "regs"), "node"))
+    # each step is written out once and ends here where it finds nothing: what the driver plans and broadcasts
+    # stays in its memory for a while
+    rest = stored(unsettled(members, comps))
+    if not rest.isEmpty():
+        comps = _settled(rest, links, comps, docs, nodes, percent, text)
+    of_node = labelled(nodes.select("node", "digest", "first_id", "copies"), comps)
+    least = of_node.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    return rows, stored(of_node.join(least, "comp").select("digest", "copies", "component_id", "comp"))
+
+
+def _settled(rest: DataFrame, links: DataFrame, comps: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, text: str) -> DataFrame:
+    """comps with the links among rest, the members of unsettled buckets."""
+    known = stored(full_sets(docs, nodes, rest.select("node").distinct(), text).join(nodes.select("node", "n", "regs"), "node"))
     common = stored(common_sizes(known.select("node", "elements")))
     rest = stored(rest.join(common.select("node", "n", "c"), "node"))
     centres = stored(central(rest))
-    more = stored(tested(with_centre(rest, centres, percent), known, percent))
-    if not more.isEmpty():
+    pairs = stored(with_centre(rest, centres, percent))
+    more = None if pairs.isEmpty() else stored(tested(pairs, known, percent))
+    if more is not None and not more.isEmpty():
         links = links.unionAll(more)
         comps = components(links)
-    now = labelled(rest.drop("comp", "main"), comps)
-    per = now.groupBy("key", "comp").agg(F.count("*").alias("members"))
-    main = per.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("members", "comp")).getField("comp").alias("main")).filter("comps > 1").select("key", "main")
-    more = stored(tested(left_over(now.join(main, "key"), centres, nodes, common.select("node", "parts"), percent), known, percent))
-    if not more.isEmpty():
-        comps = components(links.unionAll(more))
-    of_node = labelled(nodes.select("node", "digest", "first_id", "copies"), comps)
-    least = of_node.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    return rows, stored(of_node.join(least, "comp").select("digest", "copies", "component_id", "comp"))
+        now = stored(labelled(rest.drop("comp", "main"), comps))
+        per = now.groupBy("key", "comp").agg(F.count("*").alias("members"))
+        main = per.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("members", "comp")).getField("comp").alias("main")).filter("comps > 1").select("key", "main")
+        rest = now.join(main, "key")
+    pairs = left_over(rest, centres, nodes, common.select("node", "parts"), percent)
+    more = None if pairs is None else stored(tested(pairs, known, percent))
+    return comps if more is None or more.isEmpty() else components(links.unionAll(more))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:

@@ -134,3 +134,42 @@ def test_variants_below_the_threshold_are_not_compared(spark, monkeypatch):
     rows = list(enumerate(some))
     got = {x["doc_id"]: x["component_id"] for x in nd.classes(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
     assert got == brute(rows, 85)
+
+
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch):
+    r = random.Random(12)
+    # chains, stars, a tree of random links, and a node that is linked with itself
+    links = [(i, i + 1) for i in range(1000, 1300)] + [(2000, 2000 + i) for i in range(1, 50)] + [(9000 - i, r.randrange(9000 - i, 9001)) for i in range(200)] + [(5, 5), (7, 6), (6, 7)]
+    r.shuffle(links)
+    d = spark.createDataFrame(links, "a long, b long").repartition(3)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    want = {(x, root(x)) for x in parent if root(x) != x}
+    jobs = []
+    for most in (nd.TASK_LINKS, 10):
+        monkeypatch.setattr(nd, "TASK_LINKS", most)
+        before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+        got = [tuple(x) for x in nd.components(d).collect()]
+        jobs.append(spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before)
+        assert len(got) == len(want) and set(got) == want
+        assert nd.components(d.limit(0)).count() == 0
+    # the driver plans few jobs for few links
+    assert jobs[0] <= 8 < jobs[1]
+
+
+def test_steps_that_find_nothing_are_the_last(spark, monkeypatch):
+    calls = []
+    plain = nd.common_sizes
+    monkeypatch.setattr(nd, "common_sizes", lambda sets: calls.append(1) or plain(sets))
+    texts = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(20)]
+    rows = list(enumerate(texts + texts[:5]))
+    got = {r["doc_id"]: r["component_id"] for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == {i: i % 20 for i in range(25)} and not calls
