@@ -248,7 +248,7 @@ def test_leaves_are_scored_in_blocks(spark, monkeypatch):
     assert got == {(r["query_id"], r["entity_id"]): r["score"] for r in beam.scores(q, inst, v.filter("id < 60"), v.filter("id < 60"), columns, 3).collect()} | {(k, i): None for k in range(3) for i in (60, 61, 62)}
 
 
-@pytest.mark.parametrize("name", ["beam_2il"])
+@pytest.mark.parametrize("name", ["beam_2il", "beam_3il"])
 def test_pairs_of_all_entities_are_no_rows(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF))
     assert "MapInPandas" in plan and "q_emb" in plan and "e_emb" in plan
